@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkmap.catalog.registry import cte, query
-from sparkmap.catalog.roles import contact_points, epochs, maps, pulse_samples, pulses, table, trials
+from sparkmap.catalog.roles import (
+    contact_points, epochs, maps, pulse_samples, pulses, table, trial_table, trials,
+)
 from sparkmap.functions import signal
 from sparkmap.operators import quality, response
 
@@ -119,7 +121,7 @@ def _(spark, sf):
 
 
 def trials_map(spark, sf):
-    return response.trials_to_map(trials(spark, sf))
+    return response.trials_to_map(trial_table(spark, sf))
 
 
 @query("trials_to_map_development", "subject split stim_site recording_channel n_trials:i late_peak:d9 near_field:i", "trials", """
@@ -127,7 +129,7 @@ def trials_map(spark, sf):
     count(DISTINCT event_uid) AS n_trials, median(late_rms_z) AS late_peak, max(CAST(distance_to_stim <= 20 AS INT)) AS near_field
   FROM trials GROUP BY ALL""")
 def _(spark, sf):
-    t = trials(spark, sf).withColumn("split", F.when(F.col("protocol") < "3", "a").otherwise("b")).withColumn(
+    t = trial_table(spark, sf).withColumn("split", F.when(F.col("protocol") < "3", "a").otherwise("b")).withColumn(
         "near", (F.col("distance_to_stim") <= 20).cast("int")
     )
     return response.trials_to_map(
@@ -155,7 +157,7 @@ def _(spark, sf):
       quantile_cont(late_rms_z, 0.01) AS late_p01, median(late_rms_z) AS late_p50, quantile_cont(late_rms_z, 0.99) AS late_p99,
       max(late_rms_z) AS late_max FROM map)""")
 def _(spark, sf):
-    return response.extraction_qc(trials(spark, sf), maps(spark, sf))
+    return response.extraction_qc(trial_table(spark, sf), maps(spark, sf))
 
 
 @query("missing_keys", "subject stim_site recording_channel", "trials", """

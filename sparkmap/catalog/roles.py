@@ -79,8 +79,13 @@ cte("trials", "", """
   JOIN customer ON o_custkey = c_custkey""")
 
 
+def trial_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trials written once, for jobs that scan them several times: one three-way join instead of many."""
+    return stage(spark, sf_dir, "trials", lambda: trials(spark, sf_dir))
+
+
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "map", lambda: trials_to_map(trials(spark, sf_dir)))
+    return stage(spark, sf_dir, "map", lambda: trials_to_map(trial_table(spark, sf_dir)))
 
 
 cte("map", "trials", """
@@ -102,12 +107,12 @@ def _centroid(df: DataFrame, *keys: str) -> DataFrame:
 
 def channel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject, recording_channel, x, y, z: averages over the channel's trials."""
-    return _centroid(trials(spark, sf_dir), "subject", "recording_channel")
+    return _centroid(trial_table(spark, sf_dir), "subject", "recording_channel")
 
 
 def site_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject, stim_site, its two contacts and their geometry."""
-    c = _centroid(trials(spark, sf_dir), "subject", "stim_site", "site_no")
+    c = _centroid(trial_table(spark, sf_dir), "subject", "stim_site", "site_no")
     n = F.col("site_no")
     ends = c.select(
         "subject", "stim_site",
@@ -265,7 +270,7 @@ cte("target_vocab", "", """
 
 def contact_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject, contact, roi_text, frozen_token of the trials' contacts; some contacts are not listed."""
-    t = trials(spark, sf_dir)
+    t = trial_table(spark, sf_dir)
     contacts = (
         t.select("subject", F.col("recording_channel").alias("contact"), F.col("channel_no").alias("no"))
         .union(t.select("subject", F.concat(F.lit("B"), F.col("site_no").cast("string")), "site_no"))

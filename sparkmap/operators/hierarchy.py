@@ -80,13 +80,12 @@ def channel_slots(ctx: DataFrame) -> DataFrame:
 def node_offset(slots: DataFrame, shift: DataFrame) -> DataFrame:
     """Lower median of z - pop - c over the context sites of a channel."""
     out = slots.join(shift, PLAN_KEYS)
-    for t in TARGETS:
-        gap = let(
-            F.col(f"c_{t}"),
-            lambda c, t=t: array_lower_median(F.transform("slots", lambda x: x[f"z_{t}"] - x[f"pop_{t}"] - c)),
-        )
-        out = out.withColumn(f"a_{t}", gap)
-    return out
+
+    def offset(t: str) -> Column:
+        gaps = lambda c: F.transform("slots", lambda x: x[f"z_{t}"] - x[f"pop_{t}"] - c)
+        return let(F.col(f"c_{t}"), lambda c: array_lower_median(gaps(c)))
+
+    return out.select("*", *[offset(t).alias(f"a_{t}") for t in TARGETS])
 
 
 def interaction_residual(nodes: DataFrame) -> DataFrame:

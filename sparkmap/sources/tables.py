@@ -38,7 +38,7 @@ def read_tree(
     for path in paths:
         df = spark.read.csv(path, sep="\t", header=True).withColumn("file", F.col("_metadata.file_path"))
         for key in keys:
-            value = F.regexp_extract("file", rf"(?:^|[/_]){key}-([A-Za-z0-9]+)", 1)
+            value = F.regexp_extract("file", rf"(?:^|[/_=]){key}-([A-Za-z0-9]+)", 1)
             df = df.withColumn(key, F.nullif(value, F.lit("")))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if wanted is None:
