@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_clean", "q_geometry", "q_response", "q_eligibility", "q_bridge", "q_model")
+MODULES = ("q_clean", "q_geometry", "q_response", "q_eligibility", "q_bridge", "q_model", "q_inference")
 
 
 def load():

@@ -330,14 +330,15 @@ def _(spark, sf):
     )
 
 
-@query("pair_predictions", "subject context_k:i repeat:i condition n:i true_early:d true_late:d pred_early:d pred_late:d", "pairs prior", f"""
-  SELECT {PLAN}, condition, count(*) AS n, {each("avg(true_@) AS true_@")}, {each("avg(pred_@) AS pred_@")} FROM (
+@query("pair_predictions", "subject context_k:i repeat:i condition n:i true_early:d9 true_late:d9 pred_early:d pred_late:d", "pairs prior", f"""
+  SELECT {PLAN}, condition, count(*) AS n, {each("max(true_@) AS true_@")}, {each("avg(pred_@) AS pred_@")} FROM (
     FROM pairs UNION ALL SELECT subject, 0, 0, stim_site, recording_channel, 'population', true_early, true_late,
       {each("greatest(exp(round(pop_@ * sd_@ + mean_@, 9)) - 1, 0)")} FROM prior) GROUP BY ALL""")
 def _(spark, sf):
     both = H.pair_predictions(nested(spark, sf)).unionByName(H.zero_context_predictions(prior(spark, sf)))
     return both.groupBy(*P.PLAN_KEYS, "condition").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(f"{m}_{t}").alias(f"{m}_{t}") for m in ("true", "pred") for t in _T]
+        F.count(F.lit(1)).alias("n"), *[F.max(f"true_{t}").alias(f"true_{t}") for t in _T],
+        *[F.avg(f"pred_{t}").alias(f"pred_{t}") for t in _T],
     )
 
 

@@ -6,9 +6,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|N(0,1)| >= |z|)."""
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2.0)))
@@ -49,7 +50,7 @@ def _solve(n: int, k: int, alpha: float, upper: bool) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
 def _exact_interval(hits: pd.Series, draws: pd.Series) -> pd.DataFrame:
     rows = [
         (_solve(int(n), int(k), 0.025, True), _solve(int(n), int(k), 0.025, False)) for k, n in zip(hits, draws)

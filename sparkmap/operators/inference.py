@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sparkmap.functions.hashing import hash_long
 from sparkmap.functions.tails import normal_two_sided, tail_interval
 from sparkmap.operators.metrics import METRICS
-from sparkmap.operators.ordering import average_ranks, cumulative, median, positions, quantiles
+from sparkmap.operators.ordering import Quantile, average_ranks, cumulative, median, positions, quantiles
 
 # Tolerances, and the contrasts of the nested conditions with their k.
 TIE_EXTERNAL = 1e-15
@@ -47,6 +47,7 @@ SECONDARY = {
 CELL = ["contrast", "context_k", "target", "metric"]
 BLOCK_CELL = 65_536
 MAX_EXACT = 20
+MAX_BUFFERED_DRAWS = 1_000_000
 
 
 def contrast_grid(spark: SparkSession, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -170,16 +171,16 @@ def _enumerate_signs(rows: DataFrame, keys: Sequence[str], value: str) -> DataFr
     """Share of all 2^n sign patterns whose |sum| reaches the observed one; n <= 20 per cell."""
     cells = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
     n = F.size("_v")
-    total = F.shiftleft(F.lit(1), n)
+    total = F.pow(F.lit(2), n).cast("bigint")
     observed = F.abs(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x))
     # (sum, bit position) folds over the array
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"))
 
     def flip(acc: Column, x: Column) -> Column:
-        on = F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), acc["i"])) != 0
+        on = F.getbit("_mask", acc["i"]) == 1
         return F.struct((acc["s"] + F.when(on, x).otherwise(-x)).alias("s"), (acc["i"] + 1).alias("i"))
 
-    masks = cells.withColumn("_obs", observed).withColumn("_mask", F.explode(F.sequence(F.lit(0), total - 1)))
+    masks = cells.withColumn("_obs", observed).withColumn("_mask", F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1)))
     extreme = F.abs(F.aggregate("_v", start, flip, lambda acc: acc["s"])) >= F.col("_obs") - F.lit(1e-12)
     return masks.groupBy(*keys).agg(
         F.max(F.size("_v")).alias("n"), F.count_if(extreme).alias("n_extreme"), F.count(F.lit(1)).alias("n_total")
@@ -214,13 +215,21 @@ def sign_test(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return counts.withColumn("p_sign", p)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is large although its input is small.
+
+    A fixed number, because AQE would merge the few input bytes into one task.
+    """
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def _draw_rows(deltas: DataFrame, keys: Sequence[str], draws: int, block: int) -> DataFrame:
     """Every delta once per draw, spread by (cell, block of draws) so each block is summed in place."""
     blocks = (draws + block - 1) // block
     b = F.col("_block")
     return (
         deltas.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .repartition(*keys, "_block")
+        .repartition(_tasks(deltas), *keys, "_block")
         .withColumn("draw", F.explode(F.sequence(b * block, F.least((b + 1) * block, F.lit(draws)) - 1)))
     )
 
@@ -267,7 +276,7 @@ def _blocks(arrays: DataFrame, keys: Sequence[str], draws: int, block: int) -> D
     return (
         arrays.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("_size", F.least(F.lit(block), F.lit(draws) - F.col("_block") * block))
-        .repartition(*keys, "_block")
+        .repartition(_tasks(arrays), *keys, "_block")
     )
 
 
@@ -288,14 +297,16 @@ def signflip_mc(
             hits = []
             for row in frame.itertuples(index=False):
                 d = np.asarray(row.deltas, dtype=np.float64)
-                rng = np.random.default_rng([seed, row.block])
-                bits = np.unpackbits(
-                    np.frombuffer(rng.bytes(row.size * ((d.size + 7) // 8)), dtype=np.uint8).reshape(row.size, -1),
-                    axis=1, count=d.size,
-                )
-                # sum of signed deltas = 2 * (sum of the positive ones) - sum
-                m = np.abs(2.0 * (bits @ d) - d.sum()) / d.size
-                hits.append(int((m >= abs(d.mean()) - 1e-15).sum()))
+                # one random byte flips eight patients; each byte value has its signed sum ready
+                octets = np.pad(d, (0, -d.size % 8)).reshape(-1, 8)
+                sums = octets @ (1.0 - 2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).T)
+                raw = np.frombuffer(
+                    np.random.default_rng([seed, row.block]).bytes(row.size * len(octets)), dtype=np.uint8
+                ).reshape(len(octets), row.size)
+                total = np.zeros(row.size)
+                for octet, byte in zip(sums, raw):
+                    total += octet[byte]
+                hits.append(int((np.abs(total) / d.size >= abs(d.mean()) - 1e-15).sum()))
             yield frame[keys].assign(n_extreme=hits)
 
     counted = (
@@ -326,15 +337,16 @@ def bootstrap_hashed(
         per_draw = picked.groupBy(*keys, "draw").agg(F.avg("delta").alias("value"))
     else:
         per_draw = quantiles(picked, [*keys, "draw"], {"value": median("delta")})
-    return _interval(per_draw, keys)
-
+    return _interval(per_draw, keys, draws)
 
-def _interval(per_draw: DataFrame, keys: Sequence[str]) -> DataFrame:
-    from sparkmap.operators.ordering import Quantile
 
-    return quantiles(
-        per_draw, keys, {"ci_low": Quantile("value", 0.025), "ci_high": Quantile("value", 0.975)}
-    )
+def _interval(per_draw: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
+    """2.5 and 97.5 % points of one value per draw; a cell holds exactly `draws` of them."""
+    if draws <= MAX_BUFFERED_DRAWS:
+        return per_draw.groupBy(*keys).agg(
+            F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high")
+        )
+    return quantiles(per_draw, keys, {"ci_low": Quantile("value", 0.025), "ci_high": Quantile("value", 0.975)})
 
 
 def bootstrap_ci(
@@ -363,7 +375,7 @@ def bootstrap_ci(
         .withColumnsRenamed({"_block": "block", "_size": "size"})
         .mapInPandas(run, f"{_key_schema(arrays, keys)}, value double")
     )
-    return _interval(per_draw, keys).unionByName(bootstrap_hashed(large, draws, seed, keys, stat))
+    return _interval(per_draw, keys, draws).unionByName(bootstrap_hashed(large, draws, seed, keys, stat))
 
 
 def holm(df: DataFrame, p: str, out: str, family: Sequence[str] = (), id_cols: Sequence[str] = ()) -> DataFrame:
@@ -446,17 +458,21 @@ def correspondence_trajectory(summary: DataFrame) -> DataFrame:
     return summary.where("contrast = 'relation_vs_relation_perm'").orderBy("target", "metric", "context_k")
 
 
-def endpoint_table(deltas: DataFrame, draws: int, seed: int, mc=signflip_hashed) -> DataFrame:
-    """The primary and six secondary endpoints with p, interval and Holm-adjusted p (secondary family)."""
-    named = {"primary": PRIMARY} | SECONDARY
-    name = None
-    for endpoint, (k, target, metric, contrast) in named.items():
-        hit = (
+def endpoint_name() -> Column:
+    """Name of the endpoint a cell stands for, NULL for all other cells."""
+    name = F
+    for endpoint, (k, target, metric, contrast) in ({"primary": PRIMARY} | SECONDARY).items():
+        name = name.when(
             (F.col("context_k") == k) & (F.col("target") == target)
-            & (F.col("metric") == metric) & (F.col("contrast") == contrast)
+            & (F.col("metric") == metric) & (F.col("contrast") == contrast),
+            endpoint,
         )
-        name = F.when(hit, endpoint) if name is None else name.when(hit, endpoint)
-    chosen = deltas.withColumn("endpoint", name).where("endpoint IS NOT NULL")
+    return name
+
+
+def endpoint_table(deltas: DataFrame, draws: int, seed: int, mc=signflip_hashed) -> DataFrame:
+    """The primary and six secondary endpoints with p, interval and Holm-adjusted p (secondary family)."""
+    chosen = deltas.withColumn("endpoint", endpoint_name()).where("endpoint IS NOT NULL")
     keys = ["endpoint"]
     effects = effect_summary(chosen, keys, TIE_EXTERNAL, strict_wins=True)
     out = effects.join(mc(chosen, draws, seed, keys), keys).join(sign_test(chosen, keys).select("endpoint", "p_sign"), keys)

@@ -36,21 +36,24 @@ def spearman_safe(df: DataFrame, keys: Sequence[str], y: str, p: str, out: str =
     return pairs.groupBy(*keys).agg(pearson_safe("r_y", "r_p").alias(out))
 
 
+def _top(df: DataFrame, keys: Sequence[str], v: str, tie: Sequence[str], frac: float) -> DataFrame:
+    """Keys of the max(1, share) largest rows of each group; ties go by key. `_k` is their number."""
+    k = F.greatest(F.lit(1), half_even(F.lit(frac) * F.col("total")))
+    ranked = positions(df, keys, [(-F.col(v)).alias("_neg"), *tie])
+    return ranked.withColumn("_k", k).where(F.col("pos") < F.col("_k")).select(*keys, *tie, "_k")
+
+
 def top_recall(
     df: DataFrame, keys: Sequence[str], y: str, p: str, tie: Sequence[str], frac: float = 0.1, out: str = "top10_recall"
 ) -> DataFrame:
-    """Overlap of the largest share by truth and by prediction; ties go by key."""
+    """Overlap of the largest share by truth and by prediction."""
     keys, tie = list(keys), list(tie)
-    k = F.greatest(F.lit(1), half_even(F.lit(frac) * F.col("total")))
-
-    def top(v: str) -> DataFrame:
-        ranked = positions(df, keys, [(-F.col(v)).alias("_neg"), *tie])
-        return ranked.withColumn("_k", k).where(F.col("pos") < F.col("_k")).select(*keys, *tie, "_k")
-
-    truth = top(y)
-    both = truth.drop("_k").join(top(p).drop("_k"), [*keys, *tie]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_hits"))
+    truth = _top(df, keys, y, tie, frac)
+    hits = truth.drop("_k").join(_top(df, keys, p, tie, frac).drop("_k"), [*keys, *tie]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_hits")
+    )
     size = truth.groupBy(*keys).agg(F.max("_k").alias("_k"))
-    return size.join(both, keys, "left").select(
+    return size.join(hits, keys, "left").select(
         *keys, F.try_divide(F.coalesce("_hits", F.lit(0)).cast("double"), F.col("_k").cast("double")).alias(out)
     )
 
@@ -71,15 +74,36 @@ def by_target(pairs: DataFrame) -> DataFrame:
 def repeat_metrics(pairs: DataFrame) -> DataFrame:
     """All metrics per (subject, k, repeat, condition, target).
 
-    `pairs` is read several times, so hand in a written table.
+    `pairs` is read several times, so hand in a written table.  Conditions share
+    their truth, so truth is ranked once and not once per condition.
     """
     long = by_target(pairs)
     base = long.groupBy(*REPEAT_KEYS).agg(
         F.count(F.lit(1)).alias("n_pairs"), pearson_safe("y", "p").alias("pearson"), mae("y", "p").alias("mae")
     )
-    rho = spearman_safe(long, REPEAT_KEYS, "y", "p")
-    recall = top_recall(long, REPEAT_KEYS, "y", "p", ["query_site", "recording_channel"])
-    return base.join(rho, REPEAT_KEYS).join(recall, REPEAT_KEYS)
+    plan = [k for k in REPEAT_KEYS if k != "condition"]
+    cell = ["query_site", "recording_channel"]
+    truth = long.groupBy(*plan, *cell).agg(F.max("y").alias("y"))
+    rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
+    ranked = (
+        long.join(cumulative(truth, plan, "y").select(*plan, "y", rank.alias("_ry")), [*plan, "y"])
+        .join(cumulative(long, REPEAT_KEYS, "p").select(*REPEAT_KEYS, "p", rank.alias("_rp")), [*REPEAT_KEYS, "p"])
+    )
+    rho = ranked.groupBy(*REPEAT_KEYS).agg(pearson_safe("_ry", "_rp").alias("spearman"))
+
+    top_truth = _top(truth, plan, "y", cell, 0.1)
+    hits = (
+        _top(long, REPEAT_KEYS, "p", cell, 0.1)
+        .join(top_truth.drop("_k"), [*plan, *cell], "left_semi")
+        .groupBy(*REPEAT_KEYS)
+        .agg((F.count(F.lit(1)) / F.max("_k")).alias("_recall"))
+    )
+    return (
+        base.join(rho, REPEAT_KEYS)
+        .join(hits, REPEAT_KEYS, "left")
+        .withColumn("top10_recall", F.coalesce("_recall", F.lit(0.0)))
+        .drop("_recall")
+    )
 
 
 def patient_metrics(repeats: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
