@@ -15,45 +15,39 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-def _log_term(i: int, n: int, p: float) -> float:
-    return (
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    )
-
-
-def _tail(n: int, p: float, k: int, upper: bool) -> float:
-    """P(X >= k) or P(X <= k) for X ~ Binomial(n, p): terms away from k until they vanish."""
-    step, end = (1, n) if upper else (-1, 0)
-    total, i = 0.0, k
-    while (i <= end) if upper else (i >= end):
-        term = math.exp(_log_term(i, n, p))
+def _sum_away(n: int, p: float, k: int, step: int) -> float:
+    """Binomial terms from k in the direction away from the mode, until they vanish."""
+    if not 0 <= k <= n:
+        return 0.0
+    log_first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    term = math.exp(log_first + k * math.log(p) + (n - k) * math.log1p(-p))
+    total, odds = 0.0, p / (1.0 - p)
+    while term > total * 1e-17 and 0 <= k <= n:
         total += term
-        if term < total * 1e-17 and (i > n * p if upper else i < n * p):
-            break
-        i += step
+        term *= (n - k) / (k + 1) * odds if step > 0 else k / (n - k + 1) / odds
+        k += step
     return total
 
 
-def _solve(n: int, k: int, alpha: float, upper: bool) -> float:
-    """The p at which the tail at k has probability alpha, by bisection."""
+def _at_least(n: int, p: float, k: int) -> float:
+    """P(X >= k) for X ~ Binomial(n, p), from the shorter tail."""
+    return _sum_away(n, p, k, 1) if k > n * p else 1.0 - _sum_away(n, p, k - 1, -1)
+
+
+def _solve(n: int, k: int, target: float) -> float:
+    """The p at which P(X >= k) reaches the target, by bisection (it grows with p)."""
     low, high = 0.0, 1.0
-    for _ in range(200):
+    while True:
         mid = (low + high) / 2
         if mid in (low, high):
-            break
-        above = _tail(n, mid, k, upper) > alpha
-        # the upper tail grows with p, the lower one shrinks
-        if above == upper:
-            high = mid
-        else:
-            low = mid
-    return (low + high) / 2
+            return mid
+        low, high = (low, mid) if _at_least(n, mid, k) > target else (mid, high)
 
 
 @F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
 def _exact_interval(hits: pd.Series, draws: pd.Series) -> pd.DataFrame:
     rows = [
-        (_solve(int(n), int(k), 0.025, True), _solve(int(n), int(k), 0.025, False)) for k, n in zip(hits, draws)
+        (_solve(int(n), int(k), 0.025), _solve(int(n), int(k) + 1, 0.975)) for k, n in zip(hits, draws)
     ]
     return pd.DataFrame(rows, columns=["low", "high"])
 

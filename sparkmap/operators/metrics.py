@@ -36,11 +36,23 @@ def spearman_safe(df: DataFrame, keys: Sequence[str], y: str, p: str, out: str =
     return pairs.groupBy(*keys).agg(pearson_safe("r_y", "r_p").alias(out))
 
 
-def _top(df: DataFrame, keys: Sequence[str], v: str, tie: Sequence[str], frac: float) -> DataFrame:
-    """Keys of the max(1, share) largest rows of each group; ties go by key. `_k` is their number."""
+def _top(
+    df: DataFrame, steps: DataFrame, keys: Sequence[str], v: str, tie: Sequence[str], frac: float
+) -> DataFrame:
+    """Keys of the max(1, share) largest rows of each group; ties go by key. `_k` is their number.
+
+    `steps` is `cumulative(df, keys, v)`.  Only values that reach the top are
+    joined back, and only the rows of the one value that straddles the border
+    are put in order.
+    """
+    keys, tie = list(keys), list(tie)
     k = F.greatest(F.lit(1), half_even(F.lit(frac) * F.col("total")))
-    ranked = positions(df, keys, [(-F.col(v)).alias("_neg"), *tie])
-    return ranked.withColumn("_k", k).where(F.col("pos") < F.col("_k")).select(*keys, *tie, "_k")
+    above = F.col("total") - F.col("before") - F.col("n")
+    values = steps.select(*keys, v, "n", k.alias("_k"), (k - above).alias("_room")).where("_room > 0")
+    rows = df.select(*keys, v, *tie).join(values, [*keys, v])
+    inside = rows.where("n <= _room").select(*keys, *tie, "_k")
+    border = positions(rows.where("n > _room"), keys, [*tie, "_k", "_room"]).where("pos < _room")
+    return inside.unionByName(border.select(*keys, *tie, "_k"))
 
 
 def top_recall(
@@ -48,10 +60,9 @@ def top_recall(
 ) -> DataFrame:
     """Overlap of the largest share by truth and by prediction."""
     keys, tie = list(keys), list(tie)
-    truth = _top(df, keys, y, tie, frac)
-    hits = truth.drop("_k").join(_top(df, keys, p, tie, frac).drop("_k"), [*keys, *tie]).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_hits")
-    )
+    truth = _top(df, cumulative(df, keys, y), keys, y, tie, frac)
+    guess = _top(df, cumulative(df, keys, p), keys, p, tie, frac)
+    hits = truth.drop("_k").join(guess.drop("_k"), [*keys, *tie]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_hits"))
     size = truth.groupBy(*keys).agg(F.max("_k").alias("_k"))
     return size.join(hits, keys, "left").select(
         *keys, F.try_divide(F.coalesce("_hits", F.lit(0)).cast("double"), F.col("_k").cast("double")).alias(out)
@@ -85,15 +96,15 @@ def repeat_metrics(pairs: DataFrame) -> DataFrame:
     cell = ["query_site", "recording_channel"]
     truth = long.groupBy(*plan, *cell).agg(F.max("y").alias("y"))
     rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
-    ranked = (
-        long.join(cumulative(truth, plan, "y").select(*plan, "y", rank.alias("_ry")), [*plan, "y"])
-        .join(cumulative(long, REPEAT_KEYS, "p").select(*REPEAT_KEYS, "p", rank.alias("_rp")), [*REPEAT_KEYS, "p"])
+    true_steps, pred_steps = cumulative(truth, plan, "y"), cumulative(long, REPEAT_KEYS, "p")
+    ranked = long.join(true_steps.select(*plan, "y", rank.alias("_ry")), [*plan, "y"]).join(
+        pred_steps.select(*REPEAT_KEYS, "p", rank.alias("_rp")), [*REPEAT_KEYS, "p"]
     )
     rho = ranked.groupBy(*REPEAT_KEYS).agg(pearson_safe("_ry", "_rp").alias("spearman"))
 
-    top_truth = _top(truth, plan, "y", cell, 0.1)
+    top_truth = _top(truth, true_steps, plan, "y", cell, 0.1)
     hits = (
-        _top(long, REPEAT_KEYS, "p", cell, 0.1)
+        _top(long, pred_steps, REPEAT_KEYS, "p", cell, 0.1)
         .join(top_truth.drop("_k"), [*plan, *cell], "left_semi")
         .groupBy(*REPEAT_KEYS)
         .agg((F.count(F.lit(1)) / F.max("_k")).alias("_recall"))

@@ -57,7 +57,8 @@ def _span(value: Column) -> Column:
             (c - 1) * STRIDE + below(F.slice(F.col("_cuts"), (c - 1) * STRIDE + 1, STRIDE))
         ),
     )
-    return F.when(F.col("_cuts").isNotNull(), fine).otherwise(F.lit(0))
+    # never NULL, so that the joins on it add no second evaluation as a filter
+    return F.coalesce(F.when(F.col("_cuts").isNotNull(), fine), F.lit(0))
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
