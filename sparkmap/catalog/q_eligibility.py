@@ -303,10 +303,10 @@ def _(spark, sf):
 
 
 @query("compare_tables", "c_custkey field", "", """
-  WITH a AS (FROM customer WHERE c_custkey % 97 <> 5),
-    b AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal * (1 + 1e-9) WHEN c_custkey % 10 = 1
-      THEN c_acctbal * (1 + 1e-14) ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
-      FROM customer WHERE c_custkey % 89 <> 7)
+  WITH a AS (FROM customer WHERE c_acctbal > -900),
+    b AS (SELECT c_custkey, c_name, c_nationkey, CASE c_mktsegment WHEN 'BUILDING' THEN c_acctbal * (1 + 1e-9) WHEN 'MACHINERY'
+      THEN c_acctbal * (1 + 1e-14) ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+      FROM customer WHERE c_acctbal < 9500)
   SELECT c_custkey, '(missing)' AS field FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM b)
   UNION ALL SELECT c_custkey, '(extra)' FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM a)
   UNION ALL SELECT a.c_custkey, 'c_acctbal' FROM a JOIN b USING (c_custkey)
@@ -314,11 +314,12 @@ def _(spark, sf):
   UNION ALL SELECT a.c_custkey, 'c_mktsegment' FROM a JOIN b USING (c_custkey) WHERE a.c_mktsegment IS DISTINCT FROM b.c_mktsegment""")
 def _(spark, sf):
     c = table(spark, sf, "customer")
-    k, bal = F.col("c_custkey"), F.col("c_acctbal")
-    b = c.where(k % 89 != 7).withColumn(
-        "c_acctbal", F.when(k % 10 == 0, bal * (1 + 1e-9)).when(k % 10 == 1, bal * (1 + 1e-14)).otherwise(bal)
-    ).withColumn("c_mktsegment", F.when(k % 13 != 0, F.col("c_mktsegment")))
-    return quality.compare_tables(c.where(k % 97 != 5), b, ["c_custkey"])
+    seg, bal = F.col("c_mktsegment"), F.col("c_acctbal")
+    b = c.where(bal < 9500).withColumn(
+        "c_acctbal",
+        F.when(seg == "BUILDING", bal * (1 + 1e-9)).when(seg == "MACHINERY", bal * (1 + 1e-14)).otherwise(bal),
+    ).withColumn("c_mktsegment", F.when(F.col("c_nationkey") != 3, seg))
+    return quality.compare_tables(c.where(bal > -900), b, ["c_custkey"])
 
 
 @query("table_fingerprint", "n_rows:i xor_hash:i sum_hash")
@@ -346,15 +347,13 @@ def _(spark, sf):
 
 @query("manifest_diff", "path status", "", """
   SELECT coalesce(a.path, e.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'extra' ELSE 'changed' END AS status
-  FROM (SELECT url AS path, md5(html) AS h FROM pages WHERE page_id % 5 <> 0) a
-  FULL JOIN (SELECT url AS path, md5(CASE WHEN page_id % 4 = 0 THEN html || ' ' ELSE html END) AS h FROM pages WHERE page_id % 7 <> 0) e
+  FROM (SELECT page_id || ' ' || url AS path, md5(html) AS h FROM pages WHERE length(html) > 1000) a
+  FULL JOIN (SELECT page_id || ' ' || url AS path, md5(trim(html)) AS h FROM pages WHERE length(html) < 8000) e
     ON a.path = e.path WHERE a.h IS DISTINCT FROM e.h""")
 def _(spark, sf):
-    p = table(spark, sf, "pages", "page_id", "url", "html").withColumnRenamed("url", "path")
-    actual = p.where("page_id % 5 <> 0").withColumn("sha256", F.md5("html"))
-    stored = p.where("page_id % 7 <> 0").withColumn(
-        "sha256", F.md5(F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
-    )
+    p = table(spark, sf, "pages", "page_id", "url", "html").withColumn("path", F.concat_ws(" ", F.col("page_id").cast("string"), "url"))
+    actual = p.where(F.length("html") > 1000).withColumn("sha256", F.md5("html"))
+    stored = p.where(F.length("html") < 8000).withColumn("sha256", F.md5(F.trim("html")))
     return files.manifest_diff(actual, stored)
 
 

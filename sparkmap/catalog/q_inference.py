@@ -176,11 +176,11 @@ def _(spark, sf):
 cte("signed", "deltas", f"""
   SELECT *, rank() OVER (PARTITION BY {CELL} ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY {CELL}, abs(delta)) - 1) / 2.0 AS r,
     count(*) OVER (PARTITION BY {CELL}, abs(delta)) AS t FROM deltas WHERE delta <> 0""")
-cte("wilcoxon", "signed", f"""
-  SELECT {CELL}, n AS n_nonzero, w, CASE WHEN n * (n + 1) * (2 * n + 1) / 24 - tie / 48 > 0
+cte("wilcoxon", "deltas signed", f"""
+  SELECT {CELL}, coalesce(n, 0) AS n_nonzero, w, CASE WHEN n * (n + 1) * (2 * n + 1) / 24 - tie / 48 > 0
     THEN (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) END AS z
-  FROM (SELECT {CELL}, CAST(count(*) AS DOUBLE) AS n, least(coalesce(sum(r) FILTER (WHERE delta > 0), 0), coalesce(sum(r) FILTER (WHERE delta < 0), 0)) AS w,
-    sum(CAST(t * t - 1 AS DOUBLE)) AS tie FROM signed GROUP BY ALL)""")
+  FROM (SELECT DISTINCT {CELL} FROM deltas) LEFT JOIN (SELECT {CELL}, CAST(count(*) AS DOUBLE) AS n, least(coalesce(sum(r) FILTER (WHERE delta > 0), 0), coalesce(sum(r) FILTER (WHERE delta < 0), 0)) AS w,
+    sum(CAST(t * t - 1 AS DOUBLE)) AS tie FROM signed GROUP BY ALL) USING ({CELL})""")
 
 
 @query("wilcoxon", f"{_CELL_COLS} n_nonzero:i w:d z:d", "wilcoxon", "FROM wilcoxon")

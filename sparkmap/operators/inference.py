@@ -135,7 +135,7 @@ def rank_biserial(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 
 
 def wilcoxon(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """Signed rank W, tie-corrected z (no continuity correction) and two-sided normal p."""
+    """Signed rank W, tie-corrected z (no continuity correction) and two-sided normal p; p is 1 if all deltas are 0."""
     ranks = signed_ranks(deltas, keys)
     sums = ranks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_nonzero"),
@@ -149,10 +149,12 @@ def wilcoxon(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     w = F.least("w_plus", "w_minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     z = F.when(var > 0, (w - n * (n + 1) / 4) / F.sqrt(var))
+    cells = deltas.where("delta IS NOT NULL").select(*keys).distinct()
+    found = sums.join(groups, list(keys)).select(*keys, "n_nonzero", w.alias("w"), z.alias("z"))
     return (
-        sums.join(groups, list(keys))
-        .select(*keys, "n_nonzero", w.alias("w"), z.alias("z"))
-        .withColumn("p_wilcoxon", normal_two_sided("z"))
+        cells.join(found, list(keys), "left")
+        .withColumn("n_nonzero", F.coalesce("n_nonzero", F.lit(0)))
+        .withColumn("p_wilcoxon", F.when(F.col("n_nonzero") == 0, F.lit(1.0)).otherwise(normal_two_sided("z")))
     )
 
 
