@@ -14,6 +14,7 @@ from sparkmap.plans import context as P
 SEED = P.PLAN_SEED
 PLAN = "subject, context_k, repeat"
 _T = ("early", "late")
+_CELLS = ["subject", "stim_site", "recording_channel"]
 
 
 def each(template: str, sep: str = ", ") -> str:
@@ -270,6 +271,21 @@ def _(spark, sf):
     return H.population_prior(H.normalised_map(maps(spark, sf)))
 
 
+cte("line", "map split", f"""
+  SELECT {each("regr_slope(ln(1 + @_rms_z), distance_to_stim) AS b_@, regr_intercept(ln(1 + @_rms_z), distance_to_stim) AS a_@")}
+  FROM map JOIN split USING (subject, stim_site) WHERE split = 'train'""")
+
+
+@query("linear_prior", "subject stim_site recording_channel pop_early:d pop_late:d", "map line", f"""
+  SELECT subject, stim_site, recording_channel, {each("a_@ + b_@ * distance_to_stim AS pop_@")} FROM map, line""")
+def _(spark, sf):
+    m = maps(spark, sf).select(
+        *_CELLS, "distance_to_stim", F.log1p("early_rms_z").alias("early"), F.log1p("late_rms_z").alias("late")
+    )
+    train = P.internal_split(sites(spark, sf), SEED).where("split = 'train'")
+    return H.linear_prior(m.join(train, ["subject", "stim_site"], "left_semi"), m, ["distance_to_stim"], _T)
+
+
 @query("global_shift", "subject context_k:i repeat:i c_early:d c_late:d", "shift", "FROM shift")
 def _(spark, sf):
     return H.global_shift(_ctx(spark, sf))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -47,9 +48,10 @@ def main(sf_dir: str, names: list[str]) -> int:
     from sparkmap.session import build_session
 
     queries, oracles = load()
-    spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"}
-    )
+    conf = {"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"}
+    if "SHUFFLE_PARTITIONS" in os.environ:
+        conf["spark.sql.shuffle.partitions"] = os.environ["SHUFFLE_PARTITIONS"]
+    spark = build_session(master="local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf_dir)
     failed = 0

@@ -61,6 +61,25 @@ def population_prior(z: DataFrame) -> DataFrame:
     return out.select(*z.columns, *pops)
 
 
+def linear_prior(train: DataFrame, df: DataFrame, features: Sequence[str], targets: Sequence[str], ridge: float = 0.0) -> DataFrame:
+    """The other choice of prior: one linear model per target, fitted on a training cohort.
+
+    Adds `pop_{target}` to `df`.  The fit needs only the sums of products, so it
+    is one aggregate over the training rows per target.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    pack = VectorAssembler(inputCols=list(features), outputCol="_x")
+    fit_on, out = pack.transform(train), pack.transform(df)
+    for t in targets:
+        model = LinearRegression(
+            featuresCol="_x", labelCol=t, predictionCol=f"pop_{t}", regParam=ridge, solver="normal"
+        ).fit(fit_on)
+        out = model.transform(out)
+    return out.drop("_x")
+
+
 def context_rows(prior: DataFrame, context: DataFrame) -> DataFrame:
     return context.join(prior, ["subject", "stim_site"])
 

@@ -109,16 +109,10 @@ def trials_to_map(
     for name in iqrs:
         spread = spread.withColumn(name, F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
         spread = spread.drop(f"_{name}_hi", f"_{name}_lo")
-    counts = (
-        # distinct events and runs in two map-side combined steps, without Expand
-        trials.groupBy(*keys, "event_uid", "run_base")
-        .agg(*[F.max(c).alias(n) for n, c in (maxima or {}).items()], F.count(F.lit(1)).alias("_rows"))
-        .groupBy(*keys)
-        .agg(
-            F.count_distinct("event_uid").alias("n_trials"),
-            F.count_distinct("run_base").alias("n_runs"),
-            *[F.max(n).alias(n) for n in (maxima or {})],
-        )
+    counts = trials.groupBy(*keys).agg(
+        F.count_distinct("event_uid").alias("n_trials"),
+        F.count_distinct("run_base").alias("n_runs"),
+        *[F.max(c).alias(n) for n, c in (maxima or {}).items()],
     )
     return counts.join(spread, list(keys))
 
