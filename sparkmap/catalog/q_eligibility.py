@@ -444,7 +444,8 @@ def _(spark, sf):
     return tree.groupBy("sub", "ses").agg(F.count("event_uid").alias("n"))
 
 
-@query("write_manifest", "n_rows:i subjects:i first_site")
+@query("write_manifest", "n_rows:i subjects:i first_site", "trials",
+       "SELECT count(*) AS n_rows, count(DISTINCT subject) AS subjects, min(stim_site) AS first_site FROM trials")
 def _(spark, sf):
     """One-row nested summary as a JSON document, read back."""
     path = _fresh(spark, "manifest")

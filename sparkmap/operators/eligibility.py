@@ -105,7 +105,7 @@ def numeric_profile(df: DataFrame, group: Sequence[str], cols: Sequence[str]) ->
     ends = df.groupBy(*group).agg(
         *[a for c in cols for a in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]
     )
-    return ends.join(quantiles(df, group, {f"{c}_median": median(c) for c in cols}), list(group))
+    return ends.join(quantiles(df, group, {f"{c}_median": median(c) for c in cols}), list(group), "left")
 
 
 def interface_audit(files: DataFrame, group: Sequence[str], texts: dict[str, str], flags: dict[str, Column]) -> DataFrame:

@@ -135,13 +135,16 @@ class Quantile:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, Quantile]) -> DataFrame:
-    """Exact quantiles of several columns: keys plus one column per request."""
+    """Exact quantiles of several columns: keys plus one column per request.
+
+    NULL and NaN are skipped; a group without any value in any column has no row.
+    """
     keys = list(keys)
     cols = sorted({q.col for q in wanted.values()})
     long = df.select(
         *keys,
         F.explode(
-            F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+            F.array(*[F.struct(F.lit(i).alias("_m"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("_v")) for i, c in enumerate(cols)])
         ).alias("_x"),
     ).select(*keys, "_x.*")
     steps = cumulative(long, [*keys, "_m"], "_v")

@@ -146,8 +146,3 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], last:
     return df.groupBy(*key).agg(pick(packed).alias("_r")).select(*[
         F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns
     ])
-
-
-def with_group_size(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Group size as a column through a small aggregate, not a window over the group."""
-    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), list(keys))

@@ -114,7 +114,7 @@ def trials_to_map(
         F.count_distinct("run_base").alias("n_runs"),
         *[F.max(c).alias(n) for n, c in (maxima or {}).items()],
     )
-    return counts.join(spread, list(keys))
+    return counts.join(spread, list(keys), "left")
 
 
 def events_allowlist(events: DataFrame, allow: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -147,7 +147,8 @@ def extraction_qc(trials: DataFrame, maps: DataFrame, low_trials: int = 5) -> Da
             "late_p99": Quantile("late_rms_z", 0.99),
         },
     )
-    return sizes.join(cells, F.lit(True)).join(spread, F.lit(True))  # three one-row tables
+    # three tables of exactly one row
+    return sizes.join(F.broadcast(cells), F.lit(True)).join(F.broadcast(spread), F.lit(True))
 
 
 def missing_keys(expected: DataFrame, observed: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefi
     )
     names = ["_n"] + [f"_{m}_{c}" for m in "sq" for c in cols]
     total = own.groupBy(*keys).agg(*[F.sum(x).alias(f"t{x}") for x in names])
-    both = own.join(total, list(keys)) if keys else own.join(total, F.lit(True))  # one row
+    both = own.join(total, list(keys)) if keys else own.join(F.broadcast(total), F.lit(True))  # exactly one row
     return both.select(
         "subject",
         *keys,

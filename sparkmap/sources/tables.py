@@ -31,12 +31,13 @@ def read_tree(
 ) -> DataFrame:
     """TSV files of a directory tree, with `key-value` parts of the path as columns.
 
-    One read per layout (glob): files of a glob share their columns, globs may
+    One read per layout (glob): files of a glob share their header - one that
+    does not is an error, never a silent shift of columns - while globs may
     differ and are united by name.  Adds `file` and one column per key.
     """
     out = None
     for path in paths:
-        df = spark.read.csv(path, sep="\t", header=True).withColumn("file", F.col("_metadata.file_path"))
+        df = spark.read.csv(path, sep="\t", header=True, enforceSchema=False).withColumn("file", F.col("_metadata.file_path"))
         for key in keys:
             value = F.regexp_extract("file", rf"(?:^|[/_=]){key}-([A-Za-z0-9]+)", 1)
             df = df.withColumn(key, F.nullif(value, F.lit("")))
