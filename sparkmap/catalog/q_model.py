@@ -10,6 +10,7 @@ from sparkmap.catalog.roles import maps, stage, trial_table, trials
 from sparkmap.functions.hashing import stable_seed
 from sparkmap.operators import hierarchy as H, metrics as K
 from sparkmap.plans import context as P
+from sparkmap.session import materialize
 
 SEED = P.PLAN_SEED
 PLAN = "subject, context_k, repeat"
@@ -445,7 +446,7 @@ cte("patients", "repeats", """
 def repeats(spark, sf):
     """Repeat metrics, twelve digits: what differs beyond is summation order, not signal."""
     def build():
-        r = K.repeat_metrics(pairs(spark, sf))
+        r = K.repeat_metrics(pairs(spark, sf), materialize)
         for m in ("pearson", "spearman", "mae"):
             r = r.withColumn(m, F.round(m, 12))
         return r

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,14 +26,37 @@ def mae(y: str, p: str) -> Column:
     return F.avg(F.abs(F.col(y) - F.col(p)))
 
 
+def _centred_rank() -> Column:
+    """Average rank minus the group's mean rank, on the columns of `cumulative`."""
+    return F.col("before") + (F.col("n") - F.col("total")) / F.lit(2.0)
+
+
+def _with_truth_rank(df: DataFrame, steps: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    ranks = steps.select(*keys, y, _centred_rank().alias("_d"))
+    return df.join(ranks, [*keys, y]).withColumn("_q", F.col("_d") * F.col("_d"))
+
+
+def _rank_correlation(steps: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Spearman r from predicted values with the sums of their truth ranks (`_d`, `_q`).
+
+    Rows with one predicted value share its rank, so their truth ranks are only
+    summed: the predicted rank is never joined back to the rows.
+    """
+    c, n = _centred_rank(), F.max("total")
+    sxy, sxx = F.sum(c * F.col("_d")), F.sum(F.col("n") * c * c)
+    syy = F.max("total__q") - F.max("total__d") * F.max("total__d") / n
+    ok = (n >= MIN_PAIRS) & (F.sqrt(sxx / n) >= MIN_SD) & (F.sqrt(F.greatest(syy, F.lit(0.0)) / n) >= MIN_SD)
+    return steps.groupBy(*keys).agg(
+        F.when(ok, F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(F.greatest(syy, F.lit(0.0))))).alias(out)
+    )
+
+
 def spearman_safe(df: DataFrame, keys: Sequence[str], y: str, p: str, out: str = "spearman") -> DataFrame:
     """Pearson r of the average ranks, per group of any size."""
     keys = list(keys)
     pairs = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p")).where("_y IS NOT NULL AND _p IS NOT NULL")
-    rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
-    for v in ("_y", "_p"):
-        pairs = pairs.join(cumulative(pairs.select(*keys, v), keys, v).select(*keys, v, rank.alias(f"r{v}")), [*keys, v])
-    return pairs.groupBy(*keys).agg(pearson_safe("r_y", "r_p").alias(out))
+    rows = _with_truth_rank(pairs, cumulative(pairs, keys, "_y"), keys, "_y")
+    return _rank_correlation(cumulative(rows, keys, "_p", ["_d", "_q"], pairs), keys, out)
 
 
 def _top(
@@ -82,11 +105,13 @@ def by_target(pairs: DataFrame) -> DataFrame:
     ).select("*", "_t.*").drop("_t")
 
 
-def repeat_metrics(pairs: DataFrame) -> DataFrame:
+def repeat_metrics(pairs: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """All metrics per (subject, k, repeat, condition, target).
 
     `pairs` is read several times, so hand in a written table.  Conditions share
-    their truth, so truth is ranked once and not once per condition.
+    their truth, so truth is ranked once and not once per condition.  The ranked
+    predictions serve two metrics; pass `session.materialize` as `cut` to write
+    them once instead of ranking twice.
     """
     long = by_target(pairs)
     base = long.groupBy(*REPEAT_KEYS).agg(
@@ -95,12 +120,10 @@ def repeat_metrics(pairs: DataFrame) -> DataFrame:
     plan = [k for k in REPEAT_KEYS if k != "condition"]
     cell = ["query_site", "recording_channel"]
     truth = long.groupBy(*plan, *cell).agg(F.max("y").alias("y"))
-    rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
-    true_steps, pred_steps = cumulative(truth, plan, "y"), cumulative(long, REPEAT_KEYS, "p")
-    ranked = long.join(true_steps.select(*plan, "y", rank.alias("_ry")), [*plan, "y"]).join(
-        pred_steps.select(*REPEAT_KEYS, "p", rank.alias("_rp")), [*REPEAT_KEYS, "p"]
-    )
-    rho = ranked.groupBy(*REPEAT_KEYS).agg(pearson_safe("_ry", "_rp").alias("spearman"))
+    true_steps = cumulative(truth, plan, "y")
+    rows = _with_truth_rank(long, true_steps, plan, "y")
+    pred_steps = cut(cumulative(rows, REPEAT_KEYS, "p", ["_d", "_q"], long))
+    rho = _rank_correlation(pred_steps, REPEAT_KEYS, "spearman")
 
     top_truth = _top(truth, true_steps, plan, "y", cell, 0.1)
     hits = (

@@ -61,25 +61,30 @@ def _span(value: Column) -> Column:
     return F.coalesce(F.when(F.col("_cuts").isNotNull(), fine), F.lit(0))
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def cumulative(
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str] = (), sample: DataFrame | None = None
+) -> DataFrame:
     """Distinct values of each group with their counts.
 
     Returns keys, value, `n` (rows with this value), `before` (rows of the group
-    with a smaller value) and `total` (rows of the group).  `value` may be a
-    struct, which orders by its fields in turn.
+    with a smaller value) and `total` (rows of the group), and the sums of the
+    `sums` columns over the rows with this value, and `total_*` over the group.
+    `value` may be a struct, which orders by its fields in turn.  `sample` is a
+    cheaper table with the same keys and values to take the cut points from.
     """
     keys = list(keys)
-    src = df.select(*keys, value).where(F.col(value).isNotNull())
+    src = df.select(*keys, value, *sums).where(F.col(value).isNotNull())
+    seen = src.drop(*sums) if sample is None else sample.select(*keys, value).where(F.col(value).isNotNull())
     if not keys:
         keys = ["_all"]
-        src = src.withColumn("_all", F.lit(0))
+        src, seen = src.withColumn("_all", F.lit(0)), seen.withColumn("_all", F.lit(0))
 
     counted = (
         # bounded by SAMPLE_CLASSES values in total, whatever the size of src
-        src.join(F.broadcast(_cut_points(src, keys, value)), keys, "left")
+        src.join(F.broadcast(_cut_points(seen, keys, value)), keys, "left")
         .withColumn("_span", _span(F.col(value)))
         .groupBy(*keys, "_span", value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
     )
     up_to = W.partitionBy(*keys, "_span").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = counted.withColumn("_upto", F.sum("n").over(up_to))
@@ -88,7 +93,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ranges = W.partitionBy(*keys).orderBy("_span")
     offsets = (
         counted.groupBy(*keys, "_span")
-        .agg(F.sum("n").alias("_size"))
+        .agg(F.sum("n").alias("_size"), *[F.sum(c).alias(c) for c in sums])
         .select(
             *keys,
             "_span",
@@ -96,6 +101,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
                 F.sum("_size").over(ranges.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
             ).alias("_ahead"),
             F.sum("_size").over(W.partitionBy(*keys)).alias("total"),
+            *[F.sum(c).over(W.partitionBy(*keys)).alias(f"total_{c}") for c in sums],
         )
     )
     return inner.join(offsets, [*keys, "_span"]).select(
@@ -104,6 +110,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         "n",
         (F.col("_ahead") + F.col("_upto") - F.col("n")).alias("before"),
         "total",
+        *[name for c in sums for name in (c, f"total_{c}")],
     )
 
 
