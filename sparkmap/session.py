@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +31,10 @@ def build_session(app: str = "sparkmap", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`.
-
-    Only a local-mode session without that setting (a test, a notebook) gets a
-    temporary folder; on a cluster a missing setting is an error, because a
-    machine-local path would be lost together with its executor.
-    """
+    """The cluster's `spark.checkpoint.dir`; where that is unset, a folder under the
+    session's `spark.sql.warehouse.dir`, which every executor reaches as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="sparkmap-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
