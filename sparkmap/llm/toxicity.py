@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -33,9 +34,9 @@ from sparkmap.llm.common import hash_share
 
 SAMPLE_PER_CLASS = 6000
 STEMS = (3, 4, 5, 6, 7)
-LEAST_WEIGHT = 2.5
+LEAST_WEIGHT = 1.8
 #: Dunning's log-likelihood ratio: keeps entries out that are rare by chance.
-LEAST_EVIDENCE = 22.0
+LEAST_EVIDENCE = 30.0
 MOST_ENTRIES = 5000
 
 # Closed word classes of the languages at hand.
@@ -81,24 +82,33 @@ def compose(parts: list[Transducer]) -> list[list[tuple[int, int]]]:
 GRAMMAR = compose([Transducer(NEGATION, 3, NEGATED), Transducer(REPORT, 12, REPORTED), Transducer(TARGET, 6, AIMED)])
 
 
+def _forms(word: str) -> list[str]:
+    """A word and its stems (with a hyphen behind them)."""
+    return [word] + [word[:k] + "-" for k in STEMS if len(word) > k]
+
+
 def entries(text: str) -> set[str]:
-    """Words and stems (with a hyphen behind them) of a text."""
-    words = {w.lower() for w in WORD.findall(text) if len(w) > 1}
-    return words | {w[:k] + "-" for w in words for k in STEMS if len(w) > k}
+    """Words and stems of a text; those that occur again also with a 2 in front."""
+    n = Counter(f for w in WORD.findall(text) if len(w) > 1 for f in _forms(w.lower()))
+    return set(n) | {"2" + f for f, k in n.items() if k > 1}
 
 
 class Lexicon:
+    """Weights of entries; a form in it counts with the weight for one occurrence or, if greater, for two."""
+
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.forms = {f.removeprefix("2") for f in weights}
         self.fixed = {w: t for t, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.memo: dict[str, tuple[int, tuple[str, ...]]] = {}
 
-    def tag(self, word: str) -> tuple[int, float]:
+    def tag(self, word: str) -> tuple[int, tuple[str, ...]]:
+        """Class of a word and the lexicon's forms of it."""
         found = self.memo.get(word)
         if found is None:
             w = word.lower()
-            weight = max([self.weights.get(w, 0.0)] + [self.weights.get(w[:k] + "-", 0.0) for k in STEMS if len(w) > k])
-            found = (INSULT, weight) if weight > 0 else (self.fixed.get(w, OTHER), 1.0)
+            forms = tuple(f for f in _forms(w) if f in self.forms)
+            found = (INSULT if forms else self.fixed.get(w, OTHER), forms)
             if len(self.memo) < 500_000:
                 self.memo[word] = found
         return found
@@ -108,21 +118,25 @@ class Lexicon:
         total = best = clause = hits = 0.0
         words = WORD.findall(text or "")
         tags = [self.tag(w) for w in words]
-        if not any(t in (INSULT, THREAT) for t, _ in tags):
+        if not any(t == INSULT or t == THREAT for t, _ in tags):
             return 0.0, 0.0, 0.0, 0.0
+        seen = Counter(f for _, forms in tags for f in forms)
+        get = self.weights.get
+        worth = {f: max(get(f, 0.0), get("2" + f, 0.0) if n > 1 else 0.0) for f, n in seen.items()}
         state = 0
-        for word, (tag, weight) in zip(words, tags):
+        for word, (tag, forms) in zip(words, tags):
             if word in CLAUSE_END:
                 best, clause, state = max(best, clause), 0.0, 0
                 continue
             state, bits = GRAMMAR[state][tag]
             if tag in (INSULT, THREAT):
+                weight = max([worth[f] for f in forms], default=1.0)
                 for bit, factor in FACTORS.items():
                     if bits & bit:
                         weight *= factor
                 clause += weight
                 total += weight
-                hits += 1
+                hits += weight > 0
         return total, max(best, clause), hits, 100 * hits / len(words)
 
 
