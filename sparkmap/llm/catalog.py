@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in ("q_tokenfiles", "q_quality", "q_sharding", "q_language", "q_toxicity", "q_mixing"):
+for _module in ("q_tokenfiles", "q_packing", "q_quality", "q_sharding", "q_language", "q_toxicity", "q_mixing"):
     _m = import_module(f"sparkmap.llm.{_module}")
     QUERIES[_m.NAME] = _m.query
     if getattr(_m, "SQL", None):
