@@ -205,21 +205,21 @@ def link(fingerprints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataF
 
 
 def near_duplicates(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """fp, component_id: the least doc_id of all documents whose fingerprints are linked, for each distinct
-    fingerprint of `prints` (doc_id, fp)."""
+    """fp, root, component_id: a name of its component and the least doc_id of all documents in it, for each
+    distinct fingerprint of `prints` (doc_id, fp)."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = materialize(components(link(distinct, bits)), "roots")
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    return placed.join(least, "root").select("fp", "root", "component_id")
 
 
 def cluster(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: one row per row of `docs`."""
     prints = materialize(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    return prints.join(near_duplicates(prints, bits), "fp")
+    return prints.join(near_duplicates(prints, bits).drop("root"), "fp")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
@@ -234,7 +234,7 @@ def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFram
     by_fp = prints.groupBy("fp").agg(first)
     kept = (
         by_fp.join(found, by_fp["fp"] == found["fp_of"])
-        .groupBy("component_id").agg(F.min("first").alias("first"))
+        .groupBy("root").agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("kept__"))
     )
     return marked.join(kept, marked[row] == kept["kept__"], "left_semi").drop(fp, row)
