@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         return Model(Lexicon({}), np.array([edge, 0, 0, 0, 0]))
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     drawn = marked.where(hash_share(F.col("doc_id"), F.lit("toxic")) < share)
-    sample = docs.join(drawn, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    sample = docs.select("doc_id", "text").join(drawn, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
 
     @F.pandas_udf("array<string>")
     def found(text: pd.Series) -> pd.Series:
