@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkmap.llm.common import hash_share
+from sparkmap.session import materialize
 
 SAMPLE_PER_CLASS = 6000
 STEMS = (3, 4, 5, 6, 7)
@@ -179,16 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         edge = 30.0 if sizes.get(1) else -30.0
         return Model(Lexicon({}), np.array([edge, 0, 0, 0, 0]))
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    drawn = marked.where(hash_share(F.col("doc_id"), F.lit("toxic")) < share)
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    drawn = materialize(
+        marked.where(hash_share(F.col("doc_id"), F.lit("toxic")) < share).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))),
+        "drawn",
+    )
+    n_half = {(r["half"], r["toxic"]): r["n"] for r in drawn.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # ids and labels alone, about 2 * per_class rows; the count is checked before they are broadcast
+    few = sum(n_half.values()) <= 4 * per_class
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn) if few else drawn, "doc_id")
 
     @F.pandas_udf("array<string>")
     def found(text: pd.Series) -> pd.Series:
         return pd.Series([sorted(entries(t)) if t else [] for t in text])
 
     first = sample.where("half = 0").select("toxic", F.explode(found("text")).alias("entry"))
-    n_first = {r["toxic"]: r["n"] for r in sample.where("half = 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_bad, n_good = n_first.get(1, 0), n_first.get(0, 0)
+    n_bad, n_good = n_half.get((0, 1), 0), n_half.get((0, 0), 0)
     odds = lambda n, of: F.log((n + 0.5) / (of + 1.0))
 
     def surprise(name: str, of: int) -> Column:
