@@ -56,14 +56,14 @@ def _(spark, sf):
 
 
 @query("norm_name", "s_suppkey name key site", "", """
-  SELECT s_suppkey, replace(trim(' ' || s_name || ' x '), ' ', '') AS name, lower(trim(s_name || ' ')) AS key,
+  SELECT s_suppkey, replace(s_name || 'x', ' ', '') AS name, lower(s_name) AS key,
     replace(replace(trim(s_name || '_A 1'), ' ', ''), '_', '-') AS site FROM supplier""")
 def _(spark, sf):
     n = F.col("s_name")
     return table(spark, sf, "supplier", "s_suppkey", "s_name").select(
         "s_suppkey",
-        text.norm_name(F.concat(F.lit(" "), n, F.lit(" x "))).alias("name"),
-        text.casefold_key(F.concat(n, F.lit(" "))).alias("key"),
+        text.norm_name(F.concat(F.lit(" \t"), n, F.lit(" \n x\u00a0"))).alias("name"),
+        text.casefold_key(F.concat(n, F.lit("\t "))).alias("key"),
         text.norm_site(F.concat(n, F.lit("_A 1"))).alias("site"),
     )
 
@@ -82,15 +82,16 @@ def _(spark, sf):
 
 
 @query("norm_subject", "c_custkey subject", "", """
-  SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN c_name
-    ELSE 'sub-' || CASE WHEN length(CAST(c_nationkey AS VARCHAR)) < 2 THEN lpad(CAST(c_nationkey AS VARCHAR), 2, '0')
-      ELSE CAST(c_nationkey AS VARCHAR) END END AS subject FROM customer""")
+  SELECT c_custkey, CASE c_custkey % 6 WHEN 3 THEN c_name WHEN 1 THEN 'sub-00' || n WHEN 5 THEN 'sub-0' || n
+    ELSE 'sub-' || CASE WHEN length(n) < 2 THEN '0' || n ELSE n END END AS subject
+  FROM (SELECT *, CAST(c_nationkey AS VARCHAR) AS n FROM customer)""")
 def _(spark, sf):
     n = F.col("c_nationkey").cast("string")
-    m = F.col("c_custkey") % 4
+    m = F.col("c_custkey") % 6
     raw = (
         F.when(m == 0, F.concat(F.lit("sub-"), n)).when(m == 1, F.concat(F.lit("Sub00"), n))
-        .when(m == 2, F.concat(n, F.lit(".0"))).otherwise(F.col("c_name"))
+        .when(m == 2, F.concat(n, F.lit(".0"))).when(m == 3, F.concat(F.lit("\t"), F.col("c_name"), F.lit("\n")))
+        .when(m == 4, F.concat(F.lit("SUB_"), n)).otherwise(F.concat(F.lit("ses-1/sub0"), n, F.lit("_x")))
     )
     return table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey").select(
         "c_custkey", text.norm_subject(raw).alias("subject")

@@ -70,7 +70,7 @@ cte("effects", "deltas", f"""
   SELECT {CELL}, count(*) AS n_patients, avg(delta) AS mean_delta, stddev_samp(delta) AS sd_delta, median(delta) AS median_delta,
     CASE WHEN stddev_samp(delta) > 0 THEN avg(delta) / stddev_samp(delta) END AS dz, count(*) FILTER (WHERE delta > 1e-12) AS wins,
     count(*) FILTER (WHERE abs(delta) <= 1e-12) AS ties, count(*) FILTER (WHERE delta < -1e-12) AS losses,
-    count(*) FILTER (WHERE delta > 1e-12) / count(*) AS win_share FROM deltas GROUP BY ALL""")
+    count(*) FILTER (WHERE delta > 1e-12) / nullif(count(*) FILTER (WHERE abs(delta) > 1e-12), 0) AS win_share FROM deltas GROUP BY ALL""")
 _EFFECT = "n_patients:i mean_delta:d median_delta:d sd_delta:d dz:d wins:i ties:i losses:i win_share:d"
 
 
@@ -92,7 +92,7 @@ cte("boot", "boot_draws", f"""
 
 @query("bootstrap_ci", f"{_CELL_COLS} ci_low:d ci_high:d", "boot", "FROM boot")
 def _(spark, sf):
-    return L.bootstrap_hashed(deltas(spark, sf), DRAWS, SEED)
+    return L.bootstrap_ci(deltas(spark, sf), DRAWS, SEED)
 
 
 @query("bootstrap_ci_median", f"{_CELL_COLS} ci_low:d ci_high:d", "boot",
@@ -115,7 +115,7 @@ def mc_sql(source: str, keys: str, seed: int) -> str:
     return f"""
   SELECT {keys}, count(*) FILTER (WHERE m >= observed - 1e-15) AS n_extreme, {DRAWS} AS n_draws,
     (count(*) FILTER (WHERE m >= observed - 1e-15) + 1) / {DRAWS + 1}.0 AS p_mc
-  FROM (SELECT {keys}, draw, abs(avg(CASE WHEN ('0x' || substr(md5(concat_ws('|', {seed}, draw, subject)), 1, 8))::BIGINT % 2 = 0
+  FROM (SELECT {keys}, draw, abs(avg(CASE WHEN (('0x' || substr(md5(concat_ws('|', {seed}, draw // 32, subject)), 1, 8))::BIGINT >> (draw % 32)) & 1 = 0
       THEN delta ELSE -delta END)) AS m, abs(avg(delta)) AS observed FROM {source}, (SELECT unnest(range({DRAWS})) AS draw) GROUP BY ALL)
   GROUP BY {keys}"""
 
@@ -125,7 +125,7 @@ cte("signflip", "deltas", mc_sql("deltas", CELL, SEED))
 
 @query("signflip_mc", f"{_CELL_COLS} n_extreme:i n_draws:i p_mc:d", "signflip", "FROM signflip")
 def _(spark, sf):
-    return L.signflip_hashed(deltas(spark, sf), DRAWS, SEED)
+    return L.signflip_mc(deltas(spark, sf), DRAWS, SEED)
 
 
 @query("signflip_mc_interval", f"{_CELL_COLS} closed_low:d closed_high:d", "signflip", f"""
@@ -149,11 +149,12 @@ def _(spark, sf):
 _RCELL = f"{CELL}, region"
 cte("signflip_exact", "region_deltas", f"""
   WITH n AS (SELECT *, row_number() OVER (PARTITION BY {_RCELL} ORDER BY delta) - 1 AS i, count(*) OVER (PARTITION BY {_RCELL}) AS n
-    FROM region_deltas WHERE delta <> 0)
-  SELECT {_RCELL}, max(n) AS n_nonzero, count(*) FILTER (WHERE s >= observed - 1e-12) AS n_extreme, count(*) AS n_total,
-    count(*) FILTER (WHERE s >= observed - 1e-12) / count(*) AS p_exact
-  FROM (SELECT {_RCELL}, mask, max(n) AS n, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN delta ELSE -delta END)) AS s, abs(sum(delta)) AS observed
-    FROM n, (SELECT unnest(range(32)) AS mask) WHERE mask < (1 << n) GROUP BY {_RCELL}, mask) GROUP BY {_RCELL}""")
+    FROM region_deltas WHERE abs(delta) > 1e-15)
+  SELECT {_RCELL}, coalesce(n_nonzero, 0) AS n_nonzero, coalesce(n_extreme, 1) AS n_extreme, coalesce(n_total, 1) AS n_total,
+    coalesce(n_extreme / n_total, 1) AS p_exact FROM (SELECT DISTINCT {_RCELL} FROM region_deltas) LEFT JOIN (
+  SELECT {_RCELL}, max(n) AS n_nonzero, count(*) FILTER (WHERE s / n >= observed / n - 1e-15) AS n_extreme, count(*) AS n_total
+  FROM (SELECT {_RCELL}, mask, max(n) AS n, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN delta ELSE -delta END ORDER BY i)) AS s, abs(sum(delta ORDER BY i)) AS observed
+    FROM n, (SELECT unnest(range(32)) AS mask) WHERE mask < (1 << n) GROUP BY {_RCELL}, mask) GROUP BY {_RCELL}) USING ({_RCELL})""")
 
 
 @query("signflip_exact", f"{_CELL_COLS} region:i n_nonzero:i n_extreme:i n_total:i p_exact:d", "signflip_exact", "FROM signflip_exact")
@@ -188,19 +189,30 @@ def _(spark, sf):
     return L.wilcoxon(deltas(spark, sf))
 
 
-@query("wilcoxon_p", f"{_CELL_COLS} p_wilcoxon:d9")
+cte("rank_sums", "", """
+  WITH RECURSIVE dp(n, f) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1),
+    lambda s: coalesce(f[s + 1], 0) + CASE WHEN s > n THEN coalesce(f[s - n], 0) ELSE 0 END) FROM dp WHERE n < 50) SELECT * FROM dp""")
+cte("wilcoxon_plain", "deltas wilcoxon rank_sums", f"""
+  SELECT {CELL}, is_exact, CASE WHEN is_exact THEN least(1.0, 2 * list_sum(f[1:CAST(w AS INT) + 1]) / pow(2, n)) END AS p_exact
+  FROM (SELECT {CELL}, count(*) AS n, count(*) <= 50 AND count(DISTINCT abs(delta)) = count(*) AND count(*) FILTER (WHERE delta = 0) = 0 AS is_exact
+    FROM deltas GROUP BY ALL) JOIN wilcoxon USING ({CELL}) LEFT JOIN rank_sums r USING (n)""")
+
+
+@query("wilcoxon_p", f"{_CELL_COLS} is_exact p_exact:d9", "wilcoxon_plain", "FROM wilcoxon_plain")
 def _(spark, sf):
-    return L.wilcoxon(deltas(spark, sf))
+    """The automatic rule; the normal tail of cells with ties or zeros has no SQL form and is tested on fixtures."""
+    return L.wilcoxon_auto(deltas(spark, sf)).withColumn("p_exact", F.when(F.col("is_exact"), F.col("p_wilcoxon")))
 
 
 @query("wilcoxon_exact", f"{_CELL_COLS} region:i n_nonzero:i p_wilcoxon:d", "region_deltas", f"""
-  WITH n AS (SELECT *, row_number() OVER (PARTITION BY {_RCELL} ORDER BY abs(delta)) AS r, count(*) OVER (PARTITION BY {_RCELL}) AS n
-      FROM region_deltas WHERE delta <> 0),
-    u AS (SELECT {_RCELL} FROM n GROUP BY ALL HAVING count(DISTINCT abs(delta)) = count(*))
-  SELECT {_RCELL}, max(n) AS n_nonzero, count(*) FILTER (WHERE s >= observed - 1e-12) / count(*) AS p_wilcoxon
-  FROM (SELECT {_RCELL}, mask, max(n) AS n, abs(sum(CASE WHEN (mask >> (r - 1)) & 1 = 1 THEN r ELSE -r END)) AS s,
+  WITH n AS (SELECT *, rank() OVER (PARTITION BY {_RCELL} ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY {_RCELL}, abs(delta)) - 1) / 2.0 AS r,
+      row_number() OVER (PARTITION BY {_RCELL} ORDER BY abs(delta), subject) - 1 AS i, count(*) OVER (PARTITION BY {_RCELL}) AS n
+      FROM region_deltas WHERE delta <> 0)
+  SELECT {_RCELL}, coalesce(n_nonzero, 0) AS n_nonzero, coalesce(p, 1) AS p_wilcoxon FROM (SELECT DISTINCT {_RCELL} FROM region_deltas) LEFT JOIN (
+  SELECT {_RCELL}, max(n) AS n_nonzero, least(1, count(*) FILTER (WHERE s >= observed) / count(*)) AS p
+  FROM (SELECT {_RCELL}, mask, max(n) AS n, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN r ELSE -r END)) AS s,
       abs(sum(CASE WHEN delta > 0 THEN r ELSE -r END)) AS observed
-    FROM n JOIN u USING ({_RCELL}), (SELECT unnest(range(32)) AS mask) WHERE mask < (1 << n) GROUP BY {_RCELL}, mask) GROUP BY {_RCELL}""")
+    FROM n, (SELECT unnest(range(32)) AS mask) WHERE mask < (1 << n) GROUP BY {_RCELL}, mask) GROUP BY {_RCELL}) USING ({_RCELL})""")
 def _(spark, sf):
     return L.wilcoxon_exact(region_deltas(spark, sf), REGION_CELL)
 

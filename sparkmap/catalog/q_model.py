@@ -388,9 +388,14 @@ def _(spark, sf):
 
 
 @query("pearson_safe", "subject r:d constant:d", "trials", """
-  SELECT subject, covar_pop(qty, late_rms_z) / (stddev_pop(qty) * stddev_pop(late_rms_z)) AS r, NULL AS constant FROM trials GROUP BY subject""")
+  SELECT subject, covar_pop(qty, late_rms_z) / (stddev_pop(qty) * stddev_pop(late_rms_z)) AS r, NULL AS constant
+  FROM trials WHERE recording_channel NOT IN ('ch3', 'ch5') GROUP BY subject""")
 def _(spark, sf):
-    t = trials(spark, sf).withColumn("one", F.lit(1.0))
+    """Where one side of a pair is missing or not a number, the pair does not count."""
+    gap = lambda ch, c, v: F.when(F.col("recording_channel") == ch, F.lit(v)).otherwise(F.col(c))
+    t = trials(spark, sf).select(
+        "subject", F.lit(1.0).alias("one"), gap("ch3", "qty", None).alias("qty"), gap("ch5", "late_rms_z", float("nan")).alias("late_rms_z")
+    )
     return t.groupBy("subject").agg(K.pearson_safe("qty", "late_rms_z").alias("r"), K.pearson_safe("qty", "one").alias("constant"))
 
 

@@ -62,3 +62,13 @@ def tail_interval(hits: Column, draws: Column) -> tuple[Column, Column]:
     low = F.when(hits == 0, 0.0).when(hits == draws, 1.0 - edge).otherwise(solved["low"])
     high = F.when(hits == draws, 1.0).when(hits == 0, edge).otherwise(solved["high"])
     return low, high
+
+
+@F.pandas_udf(DoubleType())
+def _half_tail(n: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([1.0 if b >= a else _sum_away(int(a), 0.5, int(b), -1) for a, b in zip(n, k)], dtype="float64")
+
+
+def binomial_at_most(n: Column, k: Column) -> Column:
+    """P(X <= k) for X ~ Binomial(n, 1/2) and k <= n / 2."""
+    return _half_tail(n.cast("bigint"), k.cast("bigint"))

@@ -42,23 +42,28 @@ STEM_NOISE = (
 PAIR_SEPARATORS = r"[-_;,+/\\\s]+"
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def valid_text(c: Column, missing: Iterable[str] = MISSING_BASIC) -> Column:
     """TRUE when the text is present and not a missing marker; never NULL."""
-    return F.coalesce(~F.lower(F.trim(c)).isin(*missing), F.lit(False))
+    return F.coalesce(~F.lower(strip(c)).isin(*missing), F.lit(False))
 
 
 def clean_text(c: Column, missing: Iterable[str] = MISSING_BASIC) -> Column:
-    return F.when(valid_text(c, missing), F.trim(c))
+    return F.when(valid_text(c, missing), strip(c))
 
 
 def norm_name(c: Column) -> Column:
-    """Trim and remove spaces."""
-    return F.replace(F.trim(c), F.lit(" "), F.lit(""))
+    """Without white space."""
+    return F.regexp_replace(c, r"(?U)\s+", "")
 
 
 def casefold_key(c: Column) -> Column:
     """Case-insensitive join key."""
-    return F.lower(F.trim(c))
+    return F.lower(strip(c))
 
 
 def norm_site(c: Column) -> Column:
@@ -67,11 +72,14 @@ def norm_site(c: Column) -> Column:
 
 
 def norm_subject(c: Column) -> Column:
-    """`sub-7`, `sub07`, `7`, `7.0` all become `sub-07`; anything else stays."""
-    c = F.trim(c.cast("string"))
-    tagged = F.nullif(F.regexp_extract(c, r"(?i)sub-?(\d+)", 1), F.lit(""))
+    """`sub-7`, `sub_07`, `sub7`, `7`, `7.0` all become `sub-07`; anything else stays.
+
+    Digits behind `sub` are filled to two and otherwise kept: `sub-007` is another subject than `sub-07`.
+    """
+    c = strip(c.cast("string"))
+    tagged = F.nullif(F.regexp_extract(c, r"(?i)sub[-_]?(\d+)", 1), F.lit(""))
     number = c.try_cast("double").try_cast("bigint").cast("string")
-    digits = F.coalesce(tagged.try_cast("bigint").cast("string"), number)
+    digits = F.coalesce(tagged, number)
     padded = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
     return F.coalesce(F.concat(F.lit("sub-"), padded), c)
 
@@ -79,9 +87,9 @@ def norm_subject(c: Column) -> Column:
 def _accent_table() -> tuple[str, str]:
     """Accented letters and their bases, by rule from the Unicode data."""
     accented, base = [], []
-    for code in range(0xC0, 0x2000):
+    for code in range(0xA0, 0x30000):
         plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != chr(code) and unicodedata.normalize("NFD", chr(code)) != chr(code):
+        if len(plain) == 1 and plain != chr(code):
             accented.append(chr(code))
             base.append(plain)
     return "".join(accented), "".join(base)
@@ -91,7 +99,7 @@ _ACCENTED, _BASE = _accent_table()
 
 
 def ascii_fold(c: Column) -> Column:
-    """Strip accents: precomposed letters by table, loose marks by class."""
+    """Strip accents and fold compatibility forms of one character: both by table, loose marks by class."""
     return F.regexp_replace(F.translate(c, _ACCENTED, _BASE), r"\p{Mn}", "")
 
 

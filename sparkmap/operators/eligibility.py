@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkmap.functions.numeric import all_finite
-from sparkmap.functions.text import join_distinct
+from sparkmap.functions.text import join_distinct, strip
 from sparkmap.operators.ordering import median, quantiles
+from sparkmap.operators.quality import first_per_key
 
 # The eligibility thresholds of the study.
 MIN_SITE_PULSES = 5
@@ -50,14 +51,25 @@ def dominant_value(df: DataFrame, group: Sequence[str], key: str, n_out: str = "
     )
 
 
+def channel_status() -> Column:
+    """Lower case without white space around it; a missing status is good, and so is all that is not `bad`."""
+    return F.lower(strip(F.coalesce("status", F.lit("good"))))
+
+
+def first_channel(channels: DataFrame, keys: Sequence[str], order: str = "row_order") -> DataFrame:
+    """The first row of each channel name by the column `order`, where the table has it."""
+    return first_per_key(channels, list(keys), [order]) if order in channels.columns else channels.dropDuplicates(list(keys))
+
+
 def channel_inventory(
     channels: DataFrame, electrodes: DataFrame, keys: Sequence[str], types: Sequence[str] = ("ECOG", "SEEG")
 ) -> DataFrame:
-    """Good channels of a wanted type that have finite coordinates."""
+    """Channels that are not bad, of a wanted type, with finite coordinates; the first row of each name counts."""
     located = electrodes.where(all_finite(F.col("x"), F.col("y"), F.col("z"))).select(*keys)
     return (
-        channels.withColumn("status", F.lower(F.coalesce("status", F.lit("good"))))
-        .withColumn("type", F.upper(F.coalesce("type", F.lit("UNKNOWN"))))
+        first_channel(channels, keys)
+        .withColumn("status", channel_status())
+        .withColumn("type", F.upper(strip(F.coalesce("type", F.lit("UNKNOWN")))))
         .where((F.col("status") != "bad") & F.col("type").isin(*types))
         .join(located, list(keys), "left_semi")
     )
@@ -70,10 +82,12 @@ def to_json_counts(df: DataFrame, group: Sequence[str], key: str, out: str) -> D
     return counts.groupBy(*group).agg(F.to_json(F.map_from_entries(entries)).alias(out))
 
 
-def channel_profile(channels: DataFrame, group: Sequence[str]) -> DataFrame:
+def channel_profile(channels: DataFrame, group: Sequence[str], name: str = "name") -> DataFrame:
+    """Channels, those that are not bad, and counts by type; the first row of each name counts."""
+    channels = first_channel(channels, [*group, name])
     total = channels.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_channels"),
-        F.count_if(F.lower(F.coalesce("status", F.lit("good"))) == "good").alias("n_good"),
+        F.count_if(channel_status() != "bad").alias("n_good"),
     )
     return total.join(to_json_counts(channels, group, "type", "type_counts"), list(group))
 
@@ -85,7 +99,7 @@ def coordinate_coverage(electrodes: DataFrame, channels: DataFrame, keys: Sequen
     per_group = electrodes.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_electrodes"), F.count_if(ok).alias("n_with_xyz")
     )
-    good = channels.where(F.lower(F.coalesce("status", F.lit("good"))) == "good").join(located, list(keys), "left")
+    good = first_channel(channels, keys).where(channel_status() != "bad").join(located, list(keys), "left")
     share = good.groupBy(group).agg(
         F.avg(F.when(F.col("_located"), 1.0).otherwise(0.0)).alias("good_located_share")
     )

@@ -3,23 +3,25 @@
 Deltas are long: cell keys, `subject`, `a`, `b`, `delta`.  A cell is one
 (k, target, contrast, metric); all cells go through one job.
 
-Resampling has two forms.  The block form puts the deltas of a cell next to a
-range of draw numbers and lets numpy do one block per row; its seed is the draw
-range, so results do not depend on parallelism.  It is used for cells of up to
-BLOCK_CELL patients; larger cells take the hashed form, in which every
-(draw, patient) is a row of a map-side combined sum.
+Resampling has one rule for its draws, whatever the size of a cell: the sign of a
+patient in draw d is bit d mod 32 of md5(seed | d div 32 | patient), and slot j of
+resample d takes patient md5(seed | d | j) mod n.  Two forms carry it out.  Where a
+cell's deltas fit into one array, blocks of draws are done in numpy; where they do
+not, every (draw, patient) is a row of a map-side combined sum.  Both give the same
+draws, so a cell's result does not hang on the form it took.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkmap.functions.hashing import hash_long
-from sparkmap.functions.tails import normal_two_sided, tail_interval
+from sparkmap.functions.tails import binomial_at_most, normal_two_sided, tail_interval
 from sparkmap.operators.metrics import METRICS
 from sparkmap.operators.ordering import Quantile, average_ranks, cumulative, median, positions, quantiles
 
@@ -45,9 +47,11 @@ SECONDARY = {
     "early_k10_relation_vs_perm_spearman": (10, "early", "spearman", "relation_vs_relation_perm"),
 }
 CELL = ["contrast", "context_k", "target", "metric"]
-BLOCK_CELL = 65_536
+ARRAY_CELL = 65_536
+WORD = 32
 MAX_EXACT = 20
-MAX_BUFFERED_DRAWS = 1_000_000
+MAX_EXACT_RANKS = 50
+MASKS = 1 << 12
 
 
 def contrast_grid(spark: SparkSession, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -96,7 +100,7 @@ def unpaired(deltas: DataFrame) -> DataFrame:
 
 
 def effect_summary(deltas: DataFrame, keys: Sequence[str] = CELL, tie: float = TIE_DEVELOPMENT, strict_wins: bool = False) -> DataFrame:
-    """n, mean, median, sd, dz, wins/ties/losses.
+    """n, mean, median, sd, dz, wins/ties/losses, and the share of wins among those that are not ties.
 
     With `strict_wins` the tolerance only counts ties and any delta above 0 wins.
     """
@@ -113,7 +117,7 @@ def effect_summary(deltas: DataFrame, keys: Sequence[str] = CELL, tie: float = T
         F.count_if(d < -bar).alias("losses"),
     )
     mid = quantiles(deltas, keys, {"median_delta": median("delta")})
-    return base.join(mid, list(keys)).withColumn("win_share", F.col("wins") / F.col("n_patients"))
+    return base.join(mid, list(keys)).withColumn("win_share", F.try_divide(F.col("wins"), F.col("wins") + F.col("losses")))
 
 
 def signed_ranks(deltas: DataFrame, keys: Sequence[str] = CELL, zero: float = 0.0) -> DataFrame:
@@ -158,44 +162,89 @@ def wilcoxon(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     )
 
 
+def _ways(ranks: Column) -> Column:
+    """How many sign patterns give each sum of positive ranks, for an array of whole ranks: one step per rank."""
+    start = F.array(F.lit(1.0))
+
+    def step(ways: Column, rank: Column) -> Column:
+        longer = F.concat(ways, F.array_repeat(F.lit(0.0), rank))
+        shifted = F.concat(F.array_repeat(F.lit(0.0), rank), ways)
+        return F.zip_with(longer, shifted, lambda x, y: x + y)
+
+    return F.aggregate(ranks, start, step)
+
+
 def wilcoxon_exact(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """Exact signed-rank p by enumeration of signs, for cells of at most 20 untied non-zero deltas."""
-    ranks = signed_ranks(deltas, keys).withColumn("value", F.when(F.col("delta") > 0, F.col("rank")).otherwise(-F.col("rank")))
-    small = ranks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct("size").alias("_d")
-    ).where((F.col("_n") <= MAX_EXACT) & (F.col("_n") == F.col("_d"))).select(*keys)
-    return _enumerate_signs(ranks.join(small, list(keys)), keys, "value").select(
-        *keys, F.col("n").alias("n_nonzero"), F.col("p").alias("p_wilcoxon")
+    """Exact two-sided signed-rank p of every cell with at most 50 non-zero deltas, ties included.
+
+    Average ranks are doubled to whole numbers; the sums' frequencies follow by recurrence.
+    """
+    ranks = signed_ranks(deltas, keys)
+    small = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= MAX_EXACT_RANKS).select(*keys)
+    whole = (F.col("rank") * 2).cast("int")
+    cells = ranks.join(small, list(keys)).groupBy(*keys).agg(
+        F.collect_list(whole).alias("_r"),
+        F.sum(F.when(F.col("delta") > 0, whole).otherwise(0)).alias("_plus"),
+        F.sum(whole).alias("_all"),
+    )
+    low = F.least(F.col("_plus"), F.col("_all") - F.col("_plus"))
+    tail = F.aggregate(F.slice(_ways(F.col("_r")), 1, (low + 1).cast("int")), F.lit(0.0), lambda s, x: s + x)
+    n = F.size("_r")
+    found = cells.select(
+        *keys, n.alias("n_nonzero"), F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n)).alias("p_wilcoxon")
     )
+    some = ranks.select(*keys).distinct()
+    none = deltas.where("delta IS NOT NULL").select(*keys).distinct().join(some, list(keys), "left_anti")
+    return found.unionByName(none.withColumns({"n_nonzero": F.lit(0), "p_wilcoxon": F.lit(1.0)}))
 
 
-def _enumerate_signs(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Share of all 2^n sign patterns whose |sum| reaches the observed one; n <= 20 per cell."""
-    cells = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    n = F.size("_v")
-    total = F.pow(F.lit(2), n).cast("bigint")
-    observed = F.abs(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x))
-    # (sum, bit position) folds over the array
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"))
+def wilcoxon_auto(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """Signed rank W with the exact p where there are at most 50 deltas, none zero and none tied, else the normal one."""
+    sized = deltas.where("delta IS NOT NULL").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct(F.abs("delta")).alias("_d"), F.count_if(F.col("delta") == 0).alias("_zero")
+    )
+    plain = (F.col("_n") <= MAX_EXACT_RANKS) & (F.col("_n") == F.col("_d")) & (F.col("_zero") == 0)
+    exact = wilcoxon_exact(deltas, keys).select(*keys, F.col("p_wilcoxon").alias("_exact"))
+    return (
+        wilcoxon(deltas, keys).join(sized.select(*keys, plain.alias("is_exact")), list(keys)).join(exact, list(keys), "left")
+        .withColumn("p_wilcoxon", F.when(F.col("is_exact"), F.col("_exact")).otherwise(F.col("p_wilcoxon")))
+        .drop("_exact")
+    )
+
+
+def signflip_exact(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """All 2^n signs of the deltas that are not zero; p is 1 where there are none.
+
+    Cells above 20 such deltas are left to Monte Carlo, as planned.  A cell's
+    patterns are dealt out in stretches of 4,096.
+    """
+    nonzero = deltas.where(F.abs("delta") > F.lit(TIE_EXTERNAL))
+    small = nonzero.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= MAX_EXACT).select(*keys)
+    cells = nonzero.join(small, list(keys)).groupBy(*keys).agg(F.array_sort(F.collect_list("delta")).alias("_v"))
+    total = F.pow(F.lit(2), F.size("_v")).cast("bigint")
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"))  # (sum, bit position)
 
     def flip(acc: Column, x: Column) -> Column:
         on = F.getbit("_mask", acc["i"]) == 1
         return F.struct((acc["s"] + F.when(on, x).otherwise(-x)).alias("s"), (acc["i"] + 1).alias("i"))
 
-    masks = cells.withColumn("_obs", observed).withColumn("_mask", F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1)))
-    extreme = F.abs(F.aggregate("_v", start, flip, lambda acc: acc["s"])) >= F.col("_obs") - F.lit(1e-12)
-    return masks.groupBy(*keys).agg(
-        F.max(F.size("_v")).alias("n"), F.count_if(extreme).alias("n_extreme"), F.count(F.lit(1)).alias("n_total")
-    ).withColumn("p", F.col("n_extreme") / F.col("n_total"))
-
-
-def signflip_exact(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """All 2^n signs; zeros are dropped first; cells above 20 non-zero deltas are left to Monte Carlo."""
-    nonzero = deltas.where("delta <> 0")
-    small = nonzero.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= MAX_EXACT).select(*keys)
-    return _enumerate_signs(nonzero.join(small, list(keys)), keys, "delta").select(
-        *keys, F.col("n").alias("n_nonzero"), "n_extreme", "n_total", F.col("p").alias("p_exact")
+    masks = (
+        cells.withColumn("_total", total)
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1, F.lit(MASKS).cast("bigint"))))
+        .repartition(_tasks(cells), *keys, "_from")
+        .withColumn("_mask", F.explode(F.sequence("_from", F.least(F.col("_from") + MASKS, F.col("_total")) - 1)))
     )
+    observed = F.abs(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x))
+    mean = lambda s: s / F.size("_v")
+    extreme = mean(F.abs(F.aggregate("_v", start, flip, lambda acc: acc["s"]))) >= mean(observed) - F.lit(TIE_EXTERNAL)
+    found = masks.groupBy(*keys).agg(
+        F.max(F.size("_v")).alias("n_nonzero"), F.count_if(extreme).alias("n_extreme"), F.count(F.lit(1)).alias("n_total")
+    )
+    some = nonzero.select(*keys).distinct()
+    none = deltas.where("delta IS NOT NULL").select(*keys).distinct().join(some, list(keys), "left_anti")
+    one = F.lit(1).cast("bigint")
+    both = found.unionByName(none.withColumns({"n_nonzero": F.lit(0), "n_extreme": one, "n_total": one}))
+    return both.withColumn("p_exact", F.col("n_extreme") / F.col("n_total"))
 
 
 def sign_test(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -203,17 +252,10 @@ def sign_test(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     counts = deltas.groupBy(*keys).agg(
         F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses")
     ).withColumn("n", F.col("wins") + F.col("losses"))
-    k = F.least("wins", "losses")
-    # term(0) = 2^-n, term(i) = term(i-1) (n-i+1)/i, all on the log scale
-    first = F.struct((-F.col("n") * F.log(F.lit(2.0))).alias("t"), F.exp(-F.col("n") * F.log(F.lit(2.0))).alias("s"))
-
-    def step(acc: Column, i: Column) -> Column:
-        t = acc["t"] + F.log((F.col("n") - i + 1).cast("double")) - F.log(i.cast("double"))
-        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
-
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(steps, first, step, lambda acc: acc["s"])
-    p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+    # from the larger of the two tails' ends outwards; terms fall off, so the sum needs few of them whatever n is
+    p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(
+        F.least(F.lit(1.0), 2.0 * binomial_at_most(F.col("n"), F.least("wins", "losses")))
+    )
     return counts.withColumn("p_sign", p)
 
 
@@ -240,12 +282,16 @@ def signflip_hashed(deltas: DataFrame, draws: int, seed: int, keys: Sequence[str
     """Monte-Carlo sign flip with hashed signs: cells of any size."""
     d = deltas.where("delta IS NOT NULL").select(*keys, "subject", "delta")
     observed = d.groupBy(*keys).agg(F.abs(F.avg("delta")).alias("observed"))
-    sign = F.when(hash_long(F.lit(seed), F.col("draw"), F.col("subject")) % 2 == 0, 1.0).otherwise(-1.0)
-    means = (
-        _draw_rows(d, keys, draws, block)
-        .groupBy(*keys, "_block", "draw")
-        .agg(F.abs(F.avg(sign * F.col("delta"))).alias("m"))
+    # one hash gives the signs of a patient in 32 draws; patients of a cell are dealt over tasks and summed in part
+    words = (draws + WORD - 1) // WORD
+    hashed = (
+        d.withColumn("_word", F.explode(F.sequence(F.lit(0), F.lit(words - 1))))
+        .repartition(_tasks(d), *keys, "_word", F.pmod(F.xxhash64("subject"), F.lit(16)))
+        .withColumn("_bits", hash_long(F.lit(seed), F.col("_word"), F.col("subject")))
+        .withColumn("_bit", F.explode(F.sequence(F.lit(0), F.least(F.lit(WORD), draws - F.col("_word") * WORD) - 1)))
     )
+    sign = F.when(F.getbit("_bits", F.col("_bit")) == 0, 1.0).otherwise(-1.0)
+    means = hashed.groupBy(*keys, "_word", "_bit").agg(F.abs(F.avg(sign * F.col("delta"))).alias("m"))
     hits = means.join(observed, list(keys)).groupBy(*keys).agg(
         F.count_if(F.col("m") >= F.col("observed") - F.lit(1e-15)).alias("n_extreme")
     )
@@ -266,10 +312,12 @@ def _cells(deltas: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     """Cells small enough to travel as one array, and the deltas of all others."""
     d = deltas.where("delta IS NOT NULL").select(*keys, "subject", "delta")
     size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small = d.join(size.where(F.col("_n") <= BLOCK_CELL).select(*keys), list(keys), "left_semi")
-    large = d.join(size.where(F.col("_n") > BLOCK_CELL).select(*keys), list(keys), "left_semi")
+    small = d.join(size.where(F.col("_n") <= ARRAY_CELL).select(*keys), list(keys), "left_semi")
+    large = d.join(size.where(F.col("_n") > ARRAY_CELL).select(*keys), list(keys), "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("subject", "delta")))
-    arrays = small.groupBy(*keys).agg(F.transform(ordered, lambda x: x["delta"]).alias("deltas"))
+    arrays = small.groupBy(*keys).agg(
+        F.transform(ordered, lambda x: x["delta"]).alias("deltas"), F.transform(ordered, lambda x: x["subject"]).alias("subjects")
+    )
     return arrays, large
 
 
@@ -292,6 +340,7 @@ def signflip_mc(
 ) -> DataFrame:
     """Two-sided Monte-Carlo sign flip: p = (extreme + 1) / (draws + 1), with its exact interval."""
     keys = list(keys)
+    block = -(-block // WORD) * WORD
     arrays, large = _cells(deltas, keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,15 +348,14 @@ def signflip_mc(
             hits = []
             for row in frame.itertuples(index=False):
                 d = np.asarray(row.deltas, dtype=np.float64)
-                # one random byte flips eight patients; each byte value has its signed sum ready
-                octets = np.pad(d, (0, -d.size % 8)).reshape(-1, 8)
-                sums = octets @ (1.0 - 2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).T)
-                raw = np.frombuffer(
-                    np.random.default_rng([seed, row.block]).bytes(row.size * len(octets)), dtype=np.uint8
-                ).reshape(len(octets), row.size)
+                first = row.block * block // WORD
+                words = range(first, first - (-row.size // WORD))
                 total = np.zeros(row.size)
-                for octet, byte in zip(sums, raw):
-                    total += octet[byte]
+                for subject, delta in zip(row.subjects, d):
+                    tail = f"|{subject}".encode()
+                    heads = b"".join([md5(f"{seed}|{w}".encode() + tail).digest()[:4] for w in words])
+                    bits = np.unpackbits(np.frombuffer(heads, ">u4").astype("<u4").view(np.uint8), bitorder="little")
+                    total += delta * (1.0 - 2.0 * bits[: row.size])
                 hits.append(int((np.abs(total) / d.size >= abs(d.mean()) - 1e-15).sum()))
             yield frame[keys].assign(n_extreme=hits)
 
@@ -344,10 +392,6 @@ def bootstrap_hashed(
 
 def _interval(per_draw: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
     """2.5 and 97.5 % points of one value per draw; a cell holds exactly `draws` of them."""
-    if draws <= MAX_BUFFERED_DRAWS:
-        return per_draw.groupBy(*keys).agg(
-            F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high")
-        )
     return quantiles(per_draw, keys, {"ci_low": Quantile("value", 0.025), "ci_high": Quantile("value", 0.975)})
 
 
@@ -355,7 +399,7 @@ def bootstrap_ci(
     deltas: DataFrame, draws: int = 200_000, seed: int = 20260928, keys: Sequence[str] = CELL,
     stat: str = "mean", block: int = 10_000,
 ) -> DataFrame:
-    """Percentile interval from seeded blocks of resamples."""
+    """Percentile interval of resamples, in blocks of draws."""
     keys = list(keys)
     arrays, large = _cells(deltas, keys)
 
@@ -363,10 +407,11 @@ def bootstrap_ci(
         for frame in frames:
             for row in frame.itertuples(index=False):
                 d = np.asarray(row.deltas, dtype=np.float64)
-                rng = np.random.default_rng([seed, row.block])
-                step = max(1, 4_000_000 // d.size)
-                for start in range(0, row.size, step):
-                    take = d[rng.integers(0, d.size, (min(step, row.size - start), d.size))]
+                step = max(1, 1_000_000 // d.size)
+                for start in range(row.block * block, row.block * block + row.size, step):
+                    chosen = range(start, min(start + step, row.block * block + row.size))
+                    heads = b"".join([md5(b"%d|%d|%d" % (seed, draw, slot)).digest()[:4] for draw in chosen for slot in range(d.size)])
+                    take = d[np.frombuffer(heads, ">u4").reshape(-1, d.size) % d.size]
                     out = pd.DataFrame({"value": take.mean(axis=1) if stat == "mean" else np.median(take, axis=1)})
                     for k in keys:
                         out[k] = getattr(row, k)
@@ -428,7 +473,7 @@ def contrast_summary(
     for part in (
         ci,
         rank_biserial(deltas, keys),
-        wilcoxon(deltas, keys).select(*keys, "w", "z", "p_wilcoxon"),
+        wilcoxon_auto(deltas, keys).select(*keys, "w", "z", "p_wilcoxon"),
         sign_test(deltas, keys).select(*keys, "p_sign"),
         mc_p,
         exact,

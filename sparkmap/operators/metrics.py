@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkmap.functions.numeric import half_even
+from sparkmap.functions.numeric import all_finite, half_even
 from sparkmap.operators.ordering import cumulative, positions
 
 MIN_PAIRS = 3
@@ -17,6 +17,8 @@ REPEAT_KEYS = ["subject", "context_k", "repeat", "condition", "target"]
 
 def pearson_safe(y: str, p: str) -> Column:
     """Aggregate: Pearson r, NULL under three pairs or for a constant side."""
+    finite = all_finite(F.col(y), F.col(p))  # only pairs with both sides count, on both sides
+    y, p = F.when(finite, F.col(y)), F.when(finite, F.col(p))
     sy, sp = F.stddev_pop(y), F.stddev_pop(p)
     ok = (F.count(y) >= MIN_PAIRS) & (sy >= MIN_SD) & (sp >= MIN_SD)
     return F.when(ok, F.try_divide(F.covar_pop(y, p), sy * sp))
@@ -54,7 +56,7 @@ def _rank_correlation(steps: DataFrame, keys: Sequence[str], out: str) -> DataFr
 def spearman_safe(df: DataFrame, keys: Sequence[str], y: str, p: str, out: str = "spearman") -> DataFrame:
     """Pearson r of the average ranks, per group of any size."""
     keys = list(keys)
-    pairs = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p")).where("_y IS NOT NULL AND _p IS NOT NULL")
+    pairs = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p")).where(all_finite(F.col("_y"), F.col("_p")))
     rows = _with_truth_rank(pairs, cumulative(pairs, keys, "_y"), keys, "_y")
     return _rank_correlation(cumulative(rows, keys, "_p", ["_d", "_q"], pairs), keys, out)
 

@@ -73,15 +73,15 @@ def test_labels(spark, label, stem, hemi):
 
 
 def test_text(spark):
-    raw = ["sub-7", "Sub012", "7", "7.0", "sub-123", "abc"]
+    raw = ["sub-7", "Sub012", "7", "7.0", "sub-123", "abc", "sub_07", "sub-007", "\tsub7\n"]
     got = one(spark, *[text.norm_subject(F.lit(r)) for r in raw])
-    assert list(got) == ["sub-07", "sub-12", "sub-07", "sub-07", "sub-123", "abc"]
+    assert list(got) == ["sub-07", "sub-012", "sub-07", "sub-07", "sub-123", "abc", "sub-07", "sub-007", "sub-07"]
     got = one(
-        spark, text.norm_name(F.lit(" A 1 ")), text.norm_site(F.lit("A1_ A2")), text.ascii_fold(F.lit("Ünïcôdé é")),
+        spark, text.norm_name(F.lit("\t A 1 ")), text.norm_site(F.lit("A1_ A2")), text.ascii_fold(F.lit("Ünïcôdé é")),
         text.canonical_pair(F.lit("b"), F.lit("a")), text.valid_text(F.lit("<NA>"), text.MISSING_TABLE),
         text.valid_text(F.lit(None).cast("string")),
     )
-    assert tuple(got) == ("A1", "A1-A2", "Unicode e", "a--b", False, False)
+    assert tuple(got) == ("A1", "A1-A2", "Unicode A", "a--b", False, False)
 
 
 def test_numbers(spark):

@@ -22,7 +22,7 @@ def cell_deltas(spark, values):
 # ---- inference ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("values, p", [([1, 2, 3], 0.25), ([1, 2, 3, 0], 0.25), ([1, 2, -1, 4], 0.375)])
+@pytest.mark.parametrize("values, p", [([1, 2, 3], 0.25), ([1, 2, 3, 0], 0.25), ([1, 2, -1, 4], 0.375), ([0, 0, 0], 1.0)])
 def test_signflip_exact(spark, values, p):
     assert L.signflip_exact(cell_deltas(spark, values), ONE).first()["p_exact"] == p
 
@@ -51,6 +51,17 @@ def test_wilcoxon_of_zeros(spark):
 def test_wilcoxon_exact(spark):
     # W = 0 of 5: two of 32 sign patterns are as extreme
     assert L.wilcoxon_exact(cell_deltas(spark, [1, 2, 3, 4, 5]), ONE).first()["p_wilcoxon"] == 2 / 32
+    # ties: ranks 1.5 1.5 3.5 3.5, W- = 1.5; sums of at most 1.5 in 3 of 16 patterns
+    assert L.wilcoxon_exact(cell_deltas(spark, [1, -1, 2, 2]), ONE).first()["p_wilcoxon"] == 6 / 16
+    assert L.wilcoxon_exact(cell_deltas(spark, [0, 0]), ONE).first()["p_wilcoxon"] == 1.0
+    auto = L.wilcoxon_auto(cell_deltas(spark, [float(x) for x in range(1, 22)]), ONE).first()
+    assert auto["is_exact"] and auto["p_wilcoxon"] == pytest.approx(2 / 2**21)
+    assert not L.wilcoxon_auto(cell_deltas(spark, [1, 1, 2]), ONE).first()["is_exact"]
+
+
+def test_win_share_leaves_ties_out(spark):
+    assert L.effect_summary(cell_deltas(spark, [1, 1, -1, 0]), ONE).first()["win_share"] == pytest.approx(2 / 3)
+    assert L.effect_summary(cell_deltas(spark, [0, 0]), ONE).first()["win_share"] is None
 
 
 def test_published_inference(spark):
@@ -89,8 +100,13 @@ def test_blocks_do_not_depend_on_parallelism(spark):
 
 
 def test_large_cells_take_the_hashed_form(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_CELL", 5)
+    monkeypatch.setattr(L, "ARRAY_CELL", 5)
     d = cell_deltas(spark, [0.5, -0.2, 0.9, 0.3, -0.6, 0.8])
+    monkeypatch.setattr(L, "ARRAY_CELL", 6)
+    arrays = L.signflip_mc(d, 500, 3, ONE).first(), L.bootstrap_ci(d, 500, 3, ONE).first()
+    monkeypatch.setattr(L, "ARRAY_CELL", 5)
+    assert L.signflip_mc(d, 500, 3, ONE).first() == arrays[0]  # the same draws in either form
+    assert tuple(L.bootstrap_ci(d, 500, 3, ONE).first())[1:] == pytest.approx(tuple(arrays[1])[1:])
     assert L.signflip_mc(d, 500, 3, ONE).first() == L.signflip_hashed(d, 500, 3, ONE).first()
     # the order of summation is not fixed
     assert tuple(L.bootstrap_ci(d, 500, 3, ONE).first())[1:] == pytest.approx(tuple(L.bootstrap_hashed(d, 500, 3, ONE).first())[1:])
