@@ -340,20 +340,30 @@ def _(spark, sf):
 
 # ---- files ----------------------------------------------------------------------------------------------
 
-@query("file_inventory", "file_name length:i sha256 git_blob")
+# The pages stand for files: the address is the path, the text is the content.
+
+
+@query("file_inventory", "file_name path length:i sha256 git_blob", "", """
+  SELECT string_split(url, '/')[-1] AS file_name, url AS path, octet_length(encode(html)) AS length, sha256(html) AS sha256,
+    sha1(encode('blob ' || octet_length(encode(html))) || '\\x00'::BLOB || encode(html)) AS git_blob FROM pages""")
 def _(spark, sf):
-    return files.file_inventory(spark, sf, "*.parquet")
+    p = table(spark, sf, "pages", F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    return files.inventory(p)
 
 
-@query("guard_sources", "file_name")
+@query("guard_sources", "path", "", """
+  SELECT url AS path FROM pages WHERE NOT (ends_with(lower(url), '.eeg') OR ends_with(lower(url), '.vhdr') OR contains(lower(url), '/derivatives/'))""")
 def _(spark, sf):
-    paths = files.guard_sources(files.path_table(spark, sf), [".eeg", ".vhdr", ".vmrk"], ["derivatives"])
-    return paths.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    """No page has a forbidden address, so all pass; that one which has stops the job is tested on fixtures."""
+    return files.guard_sources(table(spark, sf, "pages", F.col("url").alias("path")), [".eeg", ".vhdr"], ["derivatives"])
 
 
-@query("candidate_paths", "file_name suffix is_derivative")
+@query("candidate_paths", "path file_name suffix is_derivative", "", r"""
+  SELECT url AS path, lower(string_split(url, '/')[-1]) AS file_name,
+    regexp_extract(lower(string_split(url, '/')[-1]), '(\.[a-z0-9]+(?:\.gz)?)$', 1) AS suffix, contains(lower(url), '/derivatives/') AS is_derivative
+  FROM pages WHERE regexp_matches(lower(string_split(url, '/')[-1]), '1|7')""")
 def _(spark, sf):
-    return files.candidate_paths(files.path_table(spark, sf), ["item", "order", "part"])
+    return files.candidate_paths(table(spark, sf, "pages", F.col("url").alias("path")), ["1", "7"])
 
 
 @query("manifest_diff", "path status", "", """

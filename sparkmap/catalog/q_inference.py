@@ -406,11 +406,12 @@ cte("control_scores", "stress_rows", " UNION ALL ".join(
     f"SELECT *, '{c}' AS variant FROM ({_spearman_sql('stress_rows', _KEYTXT, 'true_late', c)})" for c in CONTROLS
 ))
 cte("collision_curve", "level_scores", """
-  SELECT s.subject, s.repeat, s.variant, s.spearman, s.spearman - b.spearman AS delta FROM level_scores s
-  JOIN level_scores b ON s.subject = b.subject AND s.repeat = b.repeat AND b.variant = 'level_1.0'""")
+  SELECT subject, repeat, variant, spearman, spearman - max(spearman) FILTER (WHERE variant = 'level_1.0') OVER (PARTITION BY subject, repeat) AS delta
+  FROM level_scores""")
 cte("matched_controls", "control_scores", """
-  SELECT s.subject, s.repeat, s.variant, s.spearman, b.spearman - s.spearman AS delta FROM control_scores s
-  JOIN control_scores b ON s.subject = b.subject AND s.repeat = b.repeat AND b.variant = 'relation' WHERE s.variant <> 'relation'""")
+  SELECT * FROM (SELECT subject, repeat, variant, spearman,
+    max(spearman) FILTER (WHERE variant = 'relation') OVER (PARTITION BY subject, repeat) - spearman AS delta FROM control_scores)
+  WHERE variant <> 'relation'""")
 
 
 def curve(spark, sf):

@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 
 def seed_key(*parts: Column, sep: str = "|") -> Column:
-    """One text key per draw, e.g. (root, subject, k, repeat, query site)."""
-    return F.concat_ws(sep, *[p.cast("string") for p in parts])
+    """One text key per draw, e.g. (root, subject, k, repeat, query site); a missing part has a mark of its own."""
+    return F.concat_ws(sep, *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts])
 
 
 def _hex_to_long(hexed: Column) -> Column:

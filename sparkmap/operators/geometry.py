@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkmap.functions import space
 from sparkmap.functions.numeric import finite
+from sparkmap.operators.quality import one_per_key
 
 SALTS = 16
 PAIR_KEYS = ["subject", "stim_site", "recording_channel"]
@@ -86,8 +87,13 @@ def site_geometry(df: DataFrame) -> DataFrame:
 
 
 def harmonize_map(maps: DataFrame, channels: DataFrame, sites: DataFrame) -> DataFrame:
-    """Map rows with channel and site geometry; rows without either stay, flagged."""
+    """Map rows with channel and site geometry; rows without either stay, flagged.
+
+    Many map rows to one channel and one site: a second row of either stops the job.
+    """
     rec = channels.select("subject", "recording_channel", *[F.col(a).alias(f"rec_{a}") for a in space.AXES])
+    rec = one_per_key(rec, ["subject", "recording_channel"], "channel row")
+    sites = one_per_key(sites, ["subject", "stim_site"], "site row")
     out = maps.join(rec, ["subject", "recording_channel"], "left").join(sites, ["subject", "stim_site"], "left")
     d = space.displacement(space.point("mid_"), space.point("rec_"))
     out = out.select("*", *[c.alias(n) for n, c in d.items()])
@@ -119,6 +125,7 @@ def build_features(
     out; a missing token becomes `unknown`.
     """
     out = harmonize_map(maps, channels, sites)
+    bridge = one_per_key(bridge.select("subject", "contact", "token"), ["subject", "contact"], "token")
     for contact, name in (("contact_a", "stim_a_roi"), ("contact_b", "stim_b_roi"), ("recording_channel", "recording_roi")):
         tokens = bridge.select("subject", F.col("contact").alias(contact), F.col("token").alias(name))
         out = out.join(tokens, ["subject", contact], "left").withColumn(name, F.coalesce(name, F.lit(unknown)))

@@ -81,13 +81,18 @@ def paired_delta(patients: DataFrame, grid: DataFrame) -> DataFrame:
     """One row per cell and patient: both conditions' values and the gain of a over b.
 
     Positive is always better.  A patient missing on one side shows up with a
-    NULL delta; `unpaired` lists them.
+    NULL delta; `unpaired` lists them.  A second row of a patient stops the job.
     """
     values = long_metrics(patients, [r for r in METRICS if r in patients.columns])
     both = values.join(F.broadcast(grid), ["context_k", "target", "metric"]).where(  # at most 112 planned cells
         (F.col("condition") == F.col("condition_a")) | (F.col("condition") == F.col("condition_b"))
     )
-    side = lambda c: F.max(F.when(F.col("condition") == F.col(c), F.col("value")))
+
+    def side(c: str) -> Column:
+        here = F.col("condition") == F.col(c)
+        twice = F.raise_error(F.concat(F.lit("more than one value for patient "), F.first("subject"))).cast("double")
+        return F.when(F.count_if(here) > 1, twice).otherwise(F.max(F.when(here, F.col("value"))))
+
     paired = both.groupBy(*CELL, "subject", "lower_is_better").agg(
         side("condition_a").alias("a"), side("condition_b").alias("b")
     )

@@ -90,6 +90,23 @@ def require_empty(df: DataFrame, message: str) -> DataFrame:
     return df.where(F.raise_error(F.lit(message)).cast("boolean"))
 
 
+def one_per_key(df: DataFrame, key: Sequence[str], what: str) -> DataFrame:
+    """`df` unchanged if each key has one row; a second row stops the job that reads it.
+
+    For the small side of a many-to-one join, whose shuffle on the key it shares.
+    """
+    key = list(key)
+    rest = [c for c in df.columns if c not in key]
+    grouped = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest) if rest else F.lit(0)).alias("_r"))
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    stop = F.raise_error(F.concat_ws(" ", F.lit(f"more than one {what} for"), *[F.col(k).cast("string") for k in key])).cast("boolean")
+    return grouped.where(F.when(known & (F.col("_n") > 1), stop).otherwise(F.lit(True))).select(
+        *[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns]
+    )
+
+
 def compare_tables(a: DataFrame, b: DataFrame, key: Sequence[str], rtol: float = 1e-12) -> DataFrame:
     """Differences between two tables, one row per key and field.
 

@@ -10,6 +10,7 @@ from sparkmap.functions import signal
 from sparkmap.functions.numeric import all_finite
 from sparkmap.functions.text import casefold_key
 from sparkmap.operators.ordering import Quantile, median, quantiles
+from sparkmap.operators.quality import one_per_key
 
 MAP_KEYS = ["subject", "stim_site", "recording_channel"]
 
@@ -64,11 +65,11 @@ def exclude_contacts(df: DataFrame) -> DataFrame:
 def match_channels(inventory: DataFrame, header: DataFrame, coords: Sequence[str]) -> DataFrame:
     """Inventory rows found in the recording header (case-insensitive) with finite coordinates.
 
-    Ambiguous header names (two spellings of one key) are an error in the data;
-    `duplicate_header_keys` lists them.
+    Ambiguous header names (two spellings of one key) are an error in the data
+    and stop the job; `duplicate_header_keys` lists them.
     """
     key = casefold_key(F.col("name"))
-    head = header.withColumn("_key", key).withColumnRenamed("name", "header_name")
+    head = one_per_key(header.withColumn("_key", key).withColumnRenamed("name", "header_name"), ["_key"], "header name")
     inv = inventory.where(all_finite(*[F.col(c) for c in coords])).withColumn("_key", key)
     return inv.join(head, "_key").drop("_key")
 

@@ -49,25 +49,25 @@ def candidate_paths(paths: DataFrame, keywords: Sequence[str]) -> DataFrame:
     )
 
 
-def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Relative path, size, sha256 and git blob id of each file."""
-    content = F.col("content")
-    header = F.concat(F.encode(F.concat(F.lit("blob "), F.col("length").cast("string")), "UTF-8"), F.unhex(F.lit("00")))
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file_name"),
-            "path",
-            "length",
-            F.sha2(content, 256).alias("sha256"),
-            F.sha1(F.concat(header, content)).alias("git_blob"),
-        )
+def inventory(contents: DataFrame) -> DataFrame:
+    """File name, path, size, sha256 and git blob id of each row (path, content)."""
+    content, length = F.col("content"), F.octet_length("content").cast("long")
+    header = F.concat(F.encode(F.concat(F.lit("blob "), length.cast("string")), "UTF-8"), F.unhex(F.lit("00")))
+    return contents.select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        "path",
+        length.alias("length"),
+        F.sha2(content, 256).alias("sha256"),
+        F.sha1(F.concat(header, content)).alias("git_blob"),
     )
 
 
+def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """The inventory of the files below root; a file is one row, so at most 2 GB."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return inventory(read.load(root))
+
+
 def manifest_diff(actual: DataFrame, expected: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """changed, missing and extra files."""
     a = actual.select(key, F.col(digest).alias("_a"))

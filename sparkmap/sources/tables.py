@@ -14,8 +14,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def read_tsv(spark: SparkSession, path: str, wanted: Sequence[str] | None = None) -> DataFrame:
-    """TSV as text columns; of `wanted`, what exists is read and the rest is NULL."""
-    df = spark.read.csv(path, sep="\t", header=True)
+    """TSV as text columns; of `wanted`, what exists is read and the rest is NULL.  A file of another header is an error."""
+    df = spark.read.csv(path, sep="\t", header=True, enforceSchema=False)
     if wanted is None:
         return df
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])

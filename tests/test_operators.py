@@ -351,3 +351,33 @@ def test_gates(spark):
         quality.forbid_columns(df.withColumn("Outcome_x", F.lit(1)), ["outcome"])
     assert quality.table_fingerprint(df).first() == quality.table_fingerprint(df.repartition(3)).first()
     assert math.isclose(quality.expect_max(df, F.col("k"), 2).first()["max_error"], 2)
+
+
+# ---- gates ----------------------------------------------------------------------------------------------
+
+
+def test_a_second_row_stops_the_job(spark):
+    once = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 3.0), (None, 1, 4.0), (None, 1, 5.0)], "k string, j int, v double")
+    assert quality.one_per_key(once, ["k", "j"], "row").where("k IS NOT NULL").count() == 2
+    twice = once.union(spark.createDataFrame([("a", 1, 9.0)], "k string, j int, v double"))
+    with pytest.raises(Exception, match="more than one row for a 1"):
+        quality.one_per_key(twice, ["k", "j"], "row").collect()
+
+
+def test_a_doubled_patient_stops_the_job(spark):
+    rows = [("p", 10, c, "late", 0.1, 0.2, 0.3, 0.4) for c in ("relation", "node", "relation")]
+    df = spark.createDataFrame(rows, "subject string, context_k int, condition string, target string, pearson double, spearman double, mae double, top10_recall double")
+    with pytest.raises(Exception, match="more than one value for patient p"):
+        L.paired_delta(df, L.contrast_grid(spark)).collect()
+    assert L.paired_delta(df.dropDuplicates(), L.contrast_grid(spark)).where("a IS NOT NULL AND b IS NOT NULL").count() == 4
+
+
+def test_fingerprint_tells_nulls_apart(spark):
+    one = spark.createDataFrame([(None, "x"), ("a", "b:c")], "p string, q string")
+    other = spark.createDataFrame([("x", None), ("a", "b:c")], "p string, q string")
+    assert quality.table_fingerprint(one).first() != quality.table_fingerprint(other).first()
+
+
+def test_missing_floats_do_not_agree(spark):
+    a = spark.createDataFrame([(1, None), (2, 0.5)], "k int, v double")
+    assert [tuple(r) for r in quality.compare_tables(a, a, ["k"]).collect()] == [(1, "v")]
