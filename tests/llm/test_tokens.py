@@ -12,7 +12,7 @@ from sparkmap.llm.codes import Block, pack
 from sparkmap.llm.encoding import ID, Encoder
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
-ALPHABET = ["a", "B", "é", "'s", "ß", "Σ", "漢", "́", "1", "23", ".", ",", "!", "\n", "\t", " ", "  ", "<|endoftext|>", "\r\n", "ing", "'", "😀", "\x85"]
+ALPHABET = ["a", "B", "İ", "ŉ", "क़", "각", "\x01", "é", "'s", "ß", "Σ", "漢", "́", "1", "23", ".", ",", "!", "\n", "\t", " ", "  ", "<|endoftext|>", "\r\n", "ing", "'", "😀", "\x85"]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
