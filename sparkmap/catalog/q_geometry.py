@@ -138,15 +138,19 @@ def _(spark, sf):
     return geometry.check_geometry(stored).withColumn("passed", F.expr("max_midpoint_error <= 0.1 AND max_length_error <= 0.1"))
 
 
-# channels 3 and sites 9 of every subject have no geometry
-def harmonised(spark, sf):
-    return geometry.harmonize_map(
-        maps(spark, sf),
-        channel_points(spark, sf).where("recording_channel <> 'ch3'"),
-        site_points(spark, sf).where("stim_site <> 'Brand#9'"),
+def _holes(spark, sf):
+    """Channels and sites, of which channels 3 and sites 9 of every subject have lost their coordinates."""
+    kept = lambda cols, where: {c: F.when(F.expr(where), F.col(c)) for c in cols}
+    return (
+        channel_points(spark, sf).withColumns(kept(space.AXES, "recording_channel <> 'ch3'")),
+        site_points(spark, sf).withColumns(kept([f"mid_{a}" for a in space.AXES], "stim_site <> 'Brand#9'")),
     )
 
 
+def harmonised(spark, sf):
+    return geometry.harmonize_map(maps(spark, sf), *_holes(spark, sf))
+
+
 cte("harmonised", "map channel_points site_points", """
   SELECT m.*, c.x AS rec_x, c.y AS rec_y, c.z AS rec_z, s.* EXCLUDE (subject, stim_site),
     c.x - mid_x AS dx, c.y - mid_y AS dy, c.z - mid_z AS dz,
@@ -170,10 +174,7 @@ _FEATURE_COLS = " ".join(f"{c}:d" for c in geometry.FEATURES)
 
 def feature_rows(spark, sf):
     bridge = contact_bridge(spark, sf).select("subject", "contact", F.col("frozen_token").alias("token"))
-    return geometry.build_features(
-        maps(spark, sf), channel_points(spark, sf).where("recording_channel <> 'ch3'"),
-        site_points(spark, sf).where("stim_site <> 'Brand#9'"), bridge,
-    )
+    return geometry.build_features(maps(spark, sf), *_holes(spark, sf), bridge)
 
 
 cte("feature_rows", "harmonised contact_bridge", """

@@ -107,10 +107,10 @@ def _(spark, sf):
 @query("match_channels", "subject name header_name", "contact_points", """
   SELECT subject, name, ' ' || lower(name) AS header_name FROM contact_points WHERE y > -20 AND x < 20""")
 def _(spark, sf):
-    """Header of the contacts above a plane; far-right ones have lost their coordinate."""
+    """The header spells contacts below a plane in another way; far-right ones have lost their coordinate."""
     c = contact_points(spark, sf)
     inventory = c.withColumn("x", F.when(F.col("x") < 20, F.col("x"))).select("subject", "name", "x", "y", "z")
-    header = c.where("y > -20").select(F.concat(F.lit(" "), F.lower("name")).alias("name"))
+    header = c.select(F.concat(F.when(F.col("y") > -20, " ").otherwise("?"), F.lower("name")).alias("name"))
     return response.match_channels(inventory, header, ["x", "y", "z"])
 
 

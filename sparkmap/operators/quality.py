@@ -41,8 +41,12 @@ def expect_max(df: DataFrame, error: Column, tol: float) -> DataFrame:
     return df.agg(F.max(error).alias("max_error")).withColumn("passed", F.col("max_error") <= F.lit(tol))
 
 
-def expect_count(df: DataFrame, n: int) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).withColumn("passed", F.col("n") == F.lit(n))
+def expect_count(df: DataFrame, n: int | DataFrame) -> DataFrame:
+    """One row: the number of rows and whether it is the expected one, a number or a one-row table of it."""
+    found = df.agg(F.count(F.lit(1)).alias("n"))
+    if isinstance(n, int):
+        return found.withColumn("passed", F.col("n") == F.lit(n))
+    return found.crossJoin(n.toDF("_expected")).select("n", (F.col("n") == F.col("_expected")).alias("passed"))
 
 
 def expect_group_count(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

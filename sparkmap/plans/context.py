@@ -63,15 +63,16 @@ def plan_lists(context: DataFrame, query: DataFrame, seed: int = PLAN_SEED) -> D
     )
 
 
-def check_plan(context: DataFrame, ks: Sequence[int], repeats: int, n_subjects: int) -> DataFrame:
-    """Per k: plan rows expected and found, and plans whose context is not k sites long."""
+def check_plan(context: DataFrame, ks: Sequence[int], repeats: int, subjects: DataFrame) -> DataFrame:
+    """Per k: plan rows expected (each of `subjects` in each repeat) and found, and plans whose context is not k sites long."""
+    expected = subjects.agg((F.count_distinct("subject") * repeats).alias("expected"))
     plans = context.groupBy(*PLAN_KEYS).agg(F.count(F.lit(1)).alias("n"))
     found = plans.groupBy("context_k").agg(
         F.count(F.lit(1)).alias("n_plans"), F.count_if(F.col("n") != F.col("context_k")).alias("n_bad_length")
     )
     return (
         found.where(F.col("context_k").isin(*ks))
-        .withColumn("expected", F.lit(n_subjects * repeats))
+        .crossJoin(expected)  # one row
         .withColumn("passed", (F.col("n_plans") == F.col("expected")) & (F.col("n_bad_length") == 0))
     )
 
