@@ -61,6 +61,32 @@ def spearman_safe(df: DataFrame, keys: Sequence[str], y: str, p: str, out: str =
     return _rank_correlation(cumulative(rows, keys, "_p", ["_d", "_q"], pairs), keys, out)
 
 
+def _top_values(steps: DataFrame, keys: Sequence[str], v: str, frac: float) -> DataFrame:
+    """Values that reach the top: how many rows have them (`n`), how many of these fit (`_room`), and the top's size (`_k`)."""
+    k = F.greatest(F.lit(1), half_even(F.lit(frac) * F.col("total")))
+    above = F.col("total") - F.col("before") - F.col("n")
+    return steps.select(*keys, v, "n", k.alias("_k"), (k - above).alias("_room")).where("_room > 0")
+
+
+def _top_share(
+    df: DataFrame, picked: DataFrame, steps: DataFrame, keys: Sequence[str], v: str, tie: Sequence[str], frac: float, out: str
+) -> DataFrame:
+    """Share of the top of `df` that lies in `picked`, a part of it.
+
+    Only the picked rows meet the top values; of all rows, only those of the one
+    value that straddles the border are put in order.
+    """
+    keys, tie = list(keys), list(tie)
+    values = _top_values(steps, keys, v, frac)
+    inside = picked.join(values.where("n <= _room"), [*keys, v]).select(*keys)
+    border = df.select(*keys, v, *tie).join(values.where("n > _room"), [*keys, v])
+    reached = positions(border, keys, [*tie, "_room"]).where("pos < _room").select(*keys, *tie)
+    hits = inside.unionByName(reached.join(picked.select(*keys, *tie), [*keys, *tie], "left_semi").select(*keys))
+    size = values.groupBy(*keys).agg(F.max("_k").alias("_k"))
+    found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hits"))
+    return size.join(found, keys, "left").select(*keys, (F.coalesce("_hits", F.lit(0)) / F.col("_k")).alias(out))
+
+
 def _top(
     df: DataFrame, steps: DataFrame, keys: Sequence[str], v: str, tie: Sequence[str], frac: float
 ) -> DataFrame:
@@ -71,9 +97,7 @@ def _top(
     are put in order.
     """
     keys, tie = list(keys), list(tie)
-    k = F.greatest(F.lit(1), half_even(F.lit(frac) * F.col("total")))
-    above = F.col("total") - F.col("before") - F.col("n")
-    values = steps.select(*keys, v, "n", k.alias("_k"), (k - above).alias("_room")).where("_room > 0")
+    values = _top_values(steps, keys, v, frac)
     rows = df.select(*keys, v, *tie).join(values, [*keys, v])
     inside = rows.where("n <= _room").select(*keys, *tie, "_k")
     border = positions(rows.where("n > _room"), keys, [*tie, "_k", "_room"]).where("pos < _room")
@@ -128,12 +152,8 @@ def repeat_metrics(pairs: DataFrame, cut: Callable[[DataFrame], DataFrame] = lam
     rho = _rank_correlation(pred_steps, REPEAT_KEYS, "spearman")
 
     top_truth = _top(truth, true_steps, plan, "y", cell, 0.1)
-    hits = (
-        _top(long, pred_steps, REPEAT_KEYS, "p", cell, 0.1)
-        .join(top_truth.drop("_k"), [*plan, *cell], "left_semi")
-        .groupBy(*REPEAT_KEYS)
-        .agg((F.count(F.lit(1)) / F.max("_k")).alias("_recall"))
-    )
+    in_truth = long.select(*REPEAT_KEYS, *cell, "p").join(top_truth.drop("_k"), [*plan, *cell], "left_semi")
+    hits = _top_share(long, in_truth, pred_steps, REPEAT_KEYS, "p", cell, 0.1, "_recall")
     return (
         base.join(rho, REPEAT_KEYS)
         .join(hits, REPEAT_KEYS, "left")
