@@ -12,7 +12,7 @@ Spark can write to will do and a lost task leaves nothing behind:
 
 Defined cases: a null text is empty and has its end id alone; a null doc_id comes
 first; rows that repeat a doc_id stand next to each other, in the order of their
-texts; an empty table gives files without blocks.
+texts' hashes; an empty table gives files without blocks.
 """
 
 from __future__ import annotations
@@ -64,9 +64,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, block_ids: i
         if sizes:
             yield full()
 
-    order = ["doc_id", "text"]
-    dealt = docs.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.mapInPandas(blocks, SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    # a hash stands for the text where rows repeat a doc_id, so that the sample for the ranges holds no texts
+    order = ["doc_id", "tie"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.drop("tie").mapInPandas(blocks, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
