@@ -29,7 +29,7 @@ from sparkmap.llm.codes import Block, pack
 from sparkmap.llm.encoding import ID, encoder
 
 BLOCK_IDS = 1 << 18
-BATCH = 256
+BATCH = 1024
 SCHEMA = "part int, block int, first long, doc_ids array<long>, n_tokens array<int>, codes binary"
 
 
