@@ -315,6 +315,54 @@ def _(spark, sf):
     return L.endpoint_table(deltas(spark, sf), DRAWS, SEED)
 
 
+# ---- the same tables at the reference's draw numbers; the smaller queries above let SQL check the draw rule ----
+
+FULL_DRAWS = 200_000
+
+
+def endpoint_mc(d, draws, seed, keys):
+    """Ten million flips of the primary endpoint, two million of each secondary one."""
+    primary = L.signflip_mc(d.where("endpoint = 'primary'"), draws, seed, keys)
+    return primary.unionByName(L.signflip_mc(d.where("endpoint <> 'primary'"), draws // 5, 20261000, keys))
+
+
+def full_summary(spark, sf):
+    return stage(
+        spark, sf, "full_summary",
+        lambda: L.contrast_summary(deltas(spark, sf), FULL_DRAWS, FULL_DRAWS, SEED, mc=L.signflip_mc, boot=L.bootstrap_ci),
+    )
+
+
+def full_endpoints(spark, sf):
+    return stage(spark, sf, "full_endpoints", lambda: L.endpoint_table(deltas(spark, sf), 10_000_000, 20260927, mc=endpoint_mc))
+
+
+@query("contrast_summary_full", f"{_CELL_COLS} {_EFFECT} ci_low:d ci_high:d rank_biserial:d w:d z:d p_sign:d p_signflip:d9 relative_improvement_pct:d")
+def _(spark, sf):
+    """All contrasts; p_signflip is exact where a cell has at most 20 non-zero deltas."""
+    return full_summary(spark, sf)
+
+
+@query("endpoint_flags_full", f"{_CELL_COLS} p_signflip:d9 is_primary is_secondary holm_all:d9 holm_secondary:d9")
+def _(spark, sf):
+    return L.endpoint_flags(full_summary(spark, sf), "p_signflip")
+
+
+@query("correspondence_trajectory_full", f"{_CELL_COLS} mean_delta:d ci_low:d ci_high:d")
+def _(spark, sf):
+    return L.correspondence_trajectory(full_summary(spark, sf))
+
+
+@query("endpoint_table_full", "endpoint n_patients:i mean_delta:d median_delta:d wins:i ties:i losses:i n_draws:i p_mc:d9 holm_adjusted_p:d9 supported")
+def _(spark, sf):
+    return full_endpoints(spark, sf)
+
+
+@query("support_rule_full", "endpoint supported")
+def _(spark, sf):
+    return full_endpoints(spark, sf)
+
+
 # ---- stress tests: late target at the largest context ---------------------------------------------------
 
 

@@ -1,0 +1,35 @@
+"""Tables and verdicts at the reference's draw numbers, with the costly draws recorded instead of run."""
+
+from pyspark.sql import functions as F
+
+from sparkmap.catalog import load, q_inference as Q
+from sparkmap.operators import inference as L
+
+
+def test_tables_take_full_draws(spark, monkeypatch):
+    rows = [(*c, f"s{i}", 2.0 + i, 1.0, 1.0 + i + 0.01) for i in range(25) for c in (
+        ("relation_vs_relation_perm", 10, "late", "spearman"), ("relation_vs_node", 10, "late", "spearman"))]
+    d = spark.createDataFrame(rows, "contrast string, context_k int, target string, metric string, subject string, a double, b double, delta double")
+    seen = []
+
+    def mc(deltas, draws=10_000_000, seed=20260927, keys=L.CELL):
+        seen.append(("mc", draws, seed))
+        return L._with_mc_p(deltas.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("n_extreme")), draws)
+
+    def boot(deltas, draws=200_000, seed=20260928, keys=L.CELL):
+        seen.append(("boot", draws, seed))
+        return deltas.groupBy(*keys).agg(F.lit(0.0).alias("ci_low"), F.lit(1.0).alias("ci_high"))
+
+    monkeypatch.setattr(L, "signflip_mc", mc)
+    monkeypatch.setattr(L, "bootstrap_ci", boot)
+    monkeypatch.setattr(Q, "deltas", lambda spark, sf: d)
+    monkeypatch.setattr(Q, "stage", lambda spark, sf, name, build: build())
+    queries = load()[0]
+    for name in ("endpoint_table_full", "support_rule_full"):
+        seen.clear()
+        assert "endpoint" in queries[name](spark, "").columns
+        assert seen == [("mc", 10_000_000, 20260927), ("mc", 2_000_000, 20261000)]
+    for name in ("contrast_summary_full", "endpoint_flags_full", "correspondence_trajectory_full"):
+        seen.clear()
+        assert "contrast" in queries[name](spark, "").columns
+        assert sorted(seen) == [("boot", 200_000, Q.SEED), ("mc", 200_000, Q.SEED + 1)]
