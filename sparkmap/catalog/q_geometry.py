@@ -138,7 +138,7 @@ def _(spark, sf):
     return geometry.check_geometry(stored).withColumn("passed", F.expr("max_midpoint_error <= 0.1 AND max_length_error <= 0.1"))
 
 
-def _holes(spark, sf):
+def _map_holes(spark, sf):
     """Channels and sites, of which channels 3 and sites 9 of every subject have lost their coordinates."""
     kept = lambda cols, where: {c: F.when(F.expr(where), F.col(c)) for c in cols}
     return (
@@ -148,7 +148,7 @@ def _holes(spark, sf):
 
 
 def harmonised(spark, sf):
-    return geometry.harmonize_map(maps(spark, sf), *_holes(spark, sf))
+    return geometry.harmonize_map(maps(spark, sf), *_map_holes(spark, sf))
 
 
 cte("harmonised", "map channel_points site_points", """
@@ -174,7 +174,7 @@ _FEATURE_COLS = " ".join(f"{c}:d" for c in geometry.FEATURES)
 
 def feature_rows(spark, sf):
     bridge = contact_bridge(spark, sf).select("subject", "contact", F.col("frozen_token").alias("token"))
-    return geometry.build_features(maps(spark, sf), *_holes(spark, sf), bridge)
+    return geometry.build_features(maps(spark, sf), *_map_holes(spark, sf), bridge)
 
 
 cte("feature_rows", "harmonised contact_bridge", """

@@ -10,7 +10,11 @@ from sparkmap.catalog.roles import pair_label, stage, table
 from sparkmap.operators import hierarchy as H, inference as L, stress as M
 from sparkmap.operators.metrics import METRICS
 
-DRAWS = 500
+# two sizes of one code path: the plain names and, with `_full`, the study's own numbers of draws
+DRAWS = {"": 20_000, "_full": 200_000}
+ENDPOINT_DRAWS = {"": (200_000, 40_000), "_full": (10_000_000, 2_000_000)}
+ENDPOINT_SEEDS = (20260927, 20261000)
+ENDPOINT_BOOT_SEED = 20260928
 CELL = ", ".join(L.CELL)
 _CELL_COLS = "contrast context_k:i target metric"
 
@@ -79,71 +83,109 @@ def _(spark, sf):
     return L.effect_summary(deltas(spark, sf))
 
 
-cte("positions", "deltas", f"""
-  SELECT *, row_number() OVER (PARTITION BY {CELL} ORDER BY subject) - 1 AS pos, count(*) OVER (PARTITION BY {CELL}) AS total FROM deltas""")
-cte("boot_draws", "positions", f"""
-  SELECT {CELL}, draw, avg(p.delta) AS mean_value, median(p.delta) AS median_value
-  FROM (SELECT {CELL}, draw, ('0x' || substr(md5(concat_ws('|', {SEED}, draw, pos)), 1, 8))::BIGINT % total AS pos
-    FROM positions, (SELECT unnest(range({DRAWS})) AS draw)) s JOIN positions p USING ({CELL}, pos) GROUP BY ALL""")
-cte("boot", "boot_draws", f"""
-  SELECT {CELL}, quantile_cont(mean_value, 0.025) AS ci_low, quantile_cont(mean_value, 0.975) AS ci_high,
-    quantile_cont(median_value, 0.025) AS median_low, quantile_cont(median_value, 0.975) AS median_high FROM boot_draws GROUP BY ALL""")
+
+
+def boot_sql(source: str, keys: str, draws: int, seed: int) -> str:
+    """Every resample as the counts of its ranks; a cell's mean is a product with its sorted deltas."""
+    return f"""
+  WITH cells AS (SELECT {keys}, list(delta ORDER BY delta, subject) AS v, count(*) AS n FROM {source} WHERE delta IS NOT NULL GROUP BY {keys}),
+  heads AS (SELECT d, flatten(list([CAST(u & 4294967295 AS BIGINT), CAST(u >> 32 AS BIGINT), CAST(l & 4294967295 AS BIGINT), CAST(l >> 32 AS BIGINT)] ORDER BY j)) AS h
+    FROM (SELECT d, j, md5_number_upper(concat_ws('|', {seed}, d, j)) AS u, md5_number_lower(concat_ws('|', {seed}, d, j)) AS l
+      FROM range({draws}) a(d), range((SELECT (max(n) + 3) // 4 FROM cells)) b(j)) GROUP BY d),
+  ranks AS (SELECT n, list_sort(list_transform(h[1:n], lambda x: x % n)) AS r FROM heads, (SELECT DISTINCT n FROM cells)),
+  picked AS (SELECT n, r[(n - 1) // 2 + 1] AS low, r[n // 2 + 1] AS high,
+    list_transform(range(n), lambda k: CAST(len(list_filter(r, lambda x: x = k)) AS DOUBLE)) AS times FROM ranks),
+  vals AS (SELECT {keys}, list_inner_product(times, v) / n AS mean, (v[low + 1] + v[high + 1]) / 2 AS middle FROM picked JOIN cells USING (n))
+  SELECT {keys}, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high,
+    quantile_cont(middle, 0.025) AS median_low, quantile_cont(middle, 0.975) AS median_high FROM vals GROUP BY {keys}"""
+
+
+for _s, _n in DRAWS.items():
+    cte(f"boot{_s}", "deltas", boot_sql("deltas", CELL, _n, SEED))
 
 
 @query("bootstrap_ci", f"{_CELL_COLS} ci_low:d ci_high:d", "boot", "FROM boot")
 def _(spark, sf):
-    return L.bootstrap_ci(deltas(spark, sf), DRAWS, SEED)
+    return L.bootstrap_ci(deltas(spark, sf), DRAWS[""], SEED, L.CELL)
 
 
 @query("bootstrap_ci_median", f"{_CELL_COLS} ci_low:d ci_high:d", "boot",
        f"SELECT {CELL}, median_low AS ci_low, median_high AS ci_high FROM boot")
 def _(spark, sf):
-    return L.bootstrap_hashed(deltas(spark, sf), DRAWS, SEED, stat="median")
+    found = L.bootstrap_ci(deltas(spark, sf), DRAWS[""], SEED, L.CELL)
+    return found.select(*L.CELL, F.col("median_low").alias("ci_low"), F.col("median_high").alias("ci_high"))
+
+
+def _cell_sql(spec: tuple) -> str:
+    k, t, m, c = spec
+    return f"(context_k = {k} AND target = '{t}' AND metric = '{m}' AND contrast = '{c}')"
+
+
+_NAMED = "CASE " + " ".join(f"WHEN {_cell_sql(s)} THEN '{n}'" for n, s in ({"primary": L.PRIMARY} | L.SECONDARY).items()) + " END"
+cte("named_deltas", "deltas", f"SELECT *, {_NAMED} AS endpoint FROM deltas WHERE {_NAMED} IS NOT NULL")
+cte("primary_deltas", "named_deltas", "SELECT * FROM named_deltas WHERE endpoint = 'primary'")
+cte("secondary_deltas", "named_deltas", "SELECT * FROM named_deltas WHERE endpoint <> 'primary'")
 
 
 def endpoint_deltas(spark, sf):
     return deltas(spark, sf).withColumn("endpoint", L.endpoint_name()).where("endpoint IS NOT NULL")
 
 
-@query("bootstrap_ci_full", "endpoint ci_low:d ci_high:d")
+@query("bootstrap_ci_full", "endpoint ci_low:d ci_high:d", "named_deltas", boot_sql("named_deltas", "endpoint", DRAWS["_full"], ENDPOINT_BOOT_SEED))
 def _(spark, sf):
-    """200,000 seeded resamples of the primary and secondary endpoints, in blocks."""
-    return L.bootstrap_ci(endpoint_deltas(spark, sf), keys=["endpoint"])
+    """200,000 seeded resamples of the primary and secondary endpoints."""
+    return L.bootstrap_ci(endpoint_deltas(spark, sf), DRAWS["_full"], ENDPOINT_BOOT_SEED, ["endpoint"])
 
 
-def mc_sql(source: str, keys: str, seed: int) -> str:
+def mc_sql(source: str, keys: str, draws: int, seed: int) -> str:
+    """Signs as one list a draw over all patients; a cell without some of them has zeros there."""
     return f"""
-  SELECT {keys}, count(*) FILTER (WHERE m >= observed - 1e-15) AS n_extreme, {DRAWS} AS n_draws,
-    (count(*) FILTER (WHERE m >= observed - 1e-15) + 1) / {DRAWS + 1}.0 AS p_mc
-  FROM (SELECT {keys}, draw, abs(avg(CASE WHEN (('0x' || substr(md5(concat_ws('|', {seed}, draw // 32, subject)), 1, 8))::BIGINT >> (draw % 32)) & 1 = 0
-      THEN delta ELSE -delta END)) AS m, abs(avg(delta)) AS observed FROM {source}, (SELECT unnest(range({DRAWS})) AS draw) GROUP BY ALL)
-  GROUP BY {keys}"""
+  WITH patients AS (SELECT DISTINCT subject FROM {source}),
+  words AS (SELECT w, list(md5_number_upper(concat_ws('|', {seed}, w, subject)) ORDER BY subject) AS u,
+    list(md5_number_lower(concat_ws('|', {seed}, w, subject)) ORDER BY subject) AS l FROM patients, range(({draws} + 127) // 128) t(w) GROUP BY w),
+  signs AS (SELECT list_transform(CASE WHEN b < 64 THEN u ELSE l END, lambda x: CASE WHEN (x >> (b % 64)) & 1 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END) AS s
+    FROM words, range(128) r(b) WHERE w * 128 + b < {draws}),
+  cells AS (SELECT {keys}, list(coalesce(delta, 0) ORDER BY subject) AS v, count(delta) AS n,
+    abs(sum(delta)) / count(delta) - 1e-15 - sum(abs(delta)) * pow(2, -52) AS bar
+    FROM (SELECT DISTINCT {keys} FROM {source} WHERE delta IS NOT NULL) CROSS JOIN patients LEFT JOIN {source} USING ({keys}, subject) GROUP BY {keys})
+  SELECT *, {draws} AS n_draws, (n_extreme + 1) / {draws + 1}.0 AS p_mc
+  FROM (SELECT {keys}, count(*) FILTER (WHERE abs(list_inner_product(s, v)) / n >= bar) AS n_extreme FROM signs, cells GROUP BY {keys})"""
 
 
-cte("signflip", "deltas", mc_sql("deltas", CELL, SEED))
+cte("signflip", "deltas", mc_sql("deltas", CELL, DRAWS[""], SEED))
 
 
 @query("signflip_mc", f"{_CELL_COLS} n_extreme:i n_draws:i p_mc:d", "signflip", "FROM signflip")
 def _(spark, sf):
-    return L.signflip_mc(deltas(spark, sf), DRAWS, SEED)
+    return L.signflip_mc(deltas(spark, sf), DRAWS[""], SEED, L.CELL)
+
+
+_D = DRAWS[""]
 
 
 @query("signflip_mc_interval", f"{_CELL_COLS} closed_low:d closed_high:d", "signflip", f"""
-  SELECT {CELL}, CASE WHEN n_extreme = 0 THEN 0 WHEN n_extreme = {DRAWS} THEN exp(ln(0.025) / {DRAWS}) END AS closed_low,
-    CASE WHEN n_extreme = 0 THEN 1 - exp(ln(0.025) / {DRAWS}) WHEN n_extreme = {DRAWS} THEN 1 END AS closed_high FROM signflip""")
+  SELECT {CELL}, CASE WHEN n_extreme = 0 THEN 0 WHEN n_extreme = {_D} THEN exp(ln(0.025) / {_D}) END AS closed_low,
+    CASE WHEN n_extreme = 0 THEN 1 - exp(ln(0.025) / {_D}) WHEN n_extreme = {_D} THEN 1 END AS closed_high FROM signflip""")
 def _(spark, sf):
     """The tail interval where a closed form exists; the general one has no SQL form."""
-    r = L.signflip_hashed(deltas(spark, sf), DRAWS, SEED)
-    edge = (F.col("n_extreme") == 0) | (F.col("n_extreme") == DRAWS)
+    r = L.signflip_mc(deltas(spark, sf), _D, SEED, L.CELL)
+    edge = (F.col("n_extreme") == 0) | (F.col("n_extreme") == _D)
     return r.select(*L.CELL, F.when(edge, F.col("mc_ci_low")).alias("closed_low"), F.when(edge, F.col("mc_ci_high")).alias("closed_high"))
 
 
-@query("signflip_mc_full", "endpoint n_extreme:i n_draws:i p_mc:d9 mc_ci_low:d9 mc_ci_high:d9")
+for _s, (_a, _b) in ENDPOINT_DRAWS.items():
+    cte(f"named_mc{_s}", "primary_deltas secondary_deltas", f"""
+  FROM ({mc_sql("primary_deltas", "endpoint", _a, ENDPOINT_SEEDS[0])}) UNION ALL FROM ({mc_sql("secondary_deltas", "endpoint", _b, ENDPOINT_SEEDS[1])})""")
+
+
+def endpoint_mc(suffix):
+    return lambda d: L.endpoint_mc(d, *ENDPOINT_DRAWS[suffix], *ENDPOINT_SEEDS)
+
+
+@query("signflip_mc_full", "endpoint n_extreme:i n_draws:i p_mc:d9", "named_mc_full", "FROM named_mc_full")
 def _(spark, sf):
     """Ten million seeded sign flips of the primary endpoint, two million of each secondary one."""
-    d = endpoint_deltas(spark, sf)
-    primary = L.signflip_mc(d.where("endpoint = 'primary'"), keys=["endpoint"])
-    return primary.unionByName(L.signflip_mc(d.where("endpoint <> 'primary'"), 2_000_000, 20261000, ["endpoint"]))
+    return endpoint_mc("_full")(endpoint_deltas(spark, sf))
 
 
 _RCELL = f"{CELL}, region"
@@ -250,117 +292,83 @@ def _(spark, sf):
     return L.relative_improvement(deltas(spark, sf))
 
 
-cte("signflip2", "deltas", mc_sql("deltas", CELL, SEED + 1))
-cte("summary", "effects boot rank_biserial wilcoxon sign_test signflip2 improvement", f"""
-  SELECT * FROM effects LEFT JOIN (SELECT {CELL}, ci_low, ci_high FROM boot) USING ({CELL}) LEFT JOIN rank_biserial USING ({CELL})
-  LEFT JOIN (SELECT {CELL}, w, z FROM wilcoxon) USING ({CELL}) LEFT JOIN (SELECT {CELL}, p_sign FROM sign_test) USING ({CELL})
-  LEFT JOIN (SELECT {CELL}, p_mc AS p_signflip FROM signflip2) USING ({CELL}) LEFT JOIN improvement USING ({CELL})""")
-
-
-def summary(spark, sf):
-    # cells of up to 20 non-zero deltas get the exact test, so the oracle checks the Monte-Carlo column
-    return stage(
-        spark, sf, "summary",
-        lambda: L.contrast_summary(deltas(spark, sf), DRAWS, DRAWS, SEED).withColumn("p_signflip", F.col("p_mc")),
-    )
-
-
-@query("contrast_summary", f"{_CELL_COLS} {_EFFECT} ci_low:d ci_high:d rank_biserial:d w:d z:d p_sign:d p_signflip:d relative_improvement_pct:d",
-       "summary", "FROM summary")
-def _(spark, sf):
-    return summary(spark, sf)
-
-
-def _cell_sql(spec: tuple) -> str:
-    k, t, m, c = spec
-    return f"(context_k = {k} AND target = '{t}' AND metric = '{m}' AND contrast = '{c}')"
+for _s, _n in DRAWS.items():
+    cte(f"signflip2{_s}", "deltas", mc_sql("deltas", CELL, _n, SEED + 1))
+# all sign patterns of at most 20 non-zero deltas, by doubling; the first sum is the observed one
+cte("exact_p", "deltas", f"""
+  WITH RECURSIVE small AS (SELECT {CELL}, list(delta ORDER BY delta) AS v, count(*) AS n FROM deltas WHERE abs(delta) > 1e-15 GROUP BY {CELL} HAVING count(*) <= 20),
+  flips AS (SELECT *, 0 AS i, [CAST(0 AS DOUBLE)] AS s FROM small UNION ALL
+    SELECT {CELL}, v, n, i + 1, list_concat(list_transform(s, lambda x: x + v[i + 1]), list_transform(s, lambda x: x - v[i + 1])) FROM flips WHERE i < n)
+  SELECT {CELL}, len(list_filter(s, lambda x: abs(x) / n >= abs(s[1]) / n - 1e-15)) / len(s) AS p_exact FROM flips WHERE i = n
+  UNION ALL SELECT {CELL}, 1.0 FROM deltas WHERE delta IS NOT NULL GROUP BY {CELL} HAVING count(*) FILTER (WHERE abs(delta) > 1e-15) = 0""")
+# the normal tail by Simpson's rule
+cte("wilcoxon_p", "wilcoxon wilcoxon_plain", f"""
+  SELECT {CELL}, CASE WHEN n_nonzero = 0 THEN 1.0 WHEN is_exact THEN p_exact ELSE 1 - sqrt(2 / pi()) * abs(z) / 1200 * list_sum(list_transform(range(401),
+    lambda i: CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * z / 400, 2) / 2))) END AS p_wilcoxon
+  FROM wilcoxon JOIN wilcoxon_plain USING ({CELL})""")
+for _s in DRAWS:
+    cte(f"summary{_s}", f"effects grid boot{_s} rank_biserial wilcoxon wilcoxon_p sign_test signflip2{_s} exact_p improvement", f"""
+  SELECT e.*, ci_low, ci_high, median_low, median_high, rank_biserial, w, z, p_wilcoxon, p_sign, coalesce(p_exact, p_mc) AS p_signflip, relative_improvement_pct,
+    condition_a, condition_b, CASE WHEN lower_is_better THEN condition_b || ' - ' || condition_a ELSE condition_a || ' - ' || condition_b END AS delta_definition
+  FROM effects e JOIN grid USING ({CELL}) LEFT JOIN boot{_s} USING ({CELL}) LEFT JOIN rank_biserial USING ({CELL})
+  LEFT JOIN (SELECT {CELL}, w, z FROM wilcoxon) USING ({CELL}) LEFT JOIN wilcoxon_p USING ({CELL}) LEFT JOIN (SELECT {CELL}, p_sign FROM sign_test) USING ({CELL})
+  LEFT JOIN (SELECT {CELL}, p_mc FROM signflip2{_s}) USING ({CELL}) LEFT JOIN exact_p USING ({CELL}) LEFT JOIN improvement USING ({CELL})""")
+
+
+def summary(spark, sf, suffix=""):
+    n = DRAWS[suffix]
+    return stage(spark, sf, f"summary{suffix}", lambda: L.contrast_summary(deltas(spark, sf), L.contrast_grid(spark), n, n, SEED))
+
+
+def endpoints(spark, sf, suffix=""):
+    return stage(spark, sf, f"endpoints{suffix}", lambda: L.endpoint_table(deltas(spark, sf), endpoint_mc(suffix)))
+
+
+_SUMMARY = (
+    f"{_CELL_COLS} condition_a condition_b delta_definition {_EFFECT} ci_low:d ci_high:d median_low:d median_high:d "
+    "rank_biserial:d w:d z:d p_wilcoxon:d p_sign:d p_signflip:d relative_improvement_pct:d"
+)
 
 
-cte("flagged", "summary", f"""
+def _tables(suffix: str) -> None:
+    """The tables and verdicts that rest on resamples, at one size of draws."""
+    cte(f"flagged{suffix}", f"summary{suffix}", f"""
   SELECT {CELL}, p_signflip, {_cell_sql(L.PRIMARY)} AS is_primary, {" OR ".join(_cell_sql(s) for s in L.SECONDARY.values())} AS is_secondary,
-    CASE WHEN {" OR ".join(_cell_sql(s) for s in L.SECONDARY.values())} THEN p_signflip END AS p2 FROM summary""")
-cte("flagged_all", "flagged", holm_sql("flagged", "p_signflip", "", CELL, "holm_all"))
-
-
-@query("endpoint_flags", f"{_CELL_COLS} p_signflip:d is_primary is_secondary holm_all:d holm_secondary:d", "flagged_all",
-       holm_sql("flagged_all", "p2", "", CELL, "holm_secondary"))
-def _(spark, sf):
-    return L.endpoint_flags(summary(spark, sf), "p_signflip")
-
-
-@query("correspondence_trajectory", f"{_CELL_COLS} mean_delta:d ci_low:d ci_high:d", "summary", """
-  SELECT * FROM summary WHERE contrast = 'relation_vs_relation_perm' ORDER BY target, metric, context_k""")
-def _(spark, sf):
-    return L.correspondence_trajectory(summary(spark, sf))
-
-
-_NAMED = "CASE " + " ".join(f"WHEN {_cell_sql(s)} THEN '{n}'" for n, s in ({"primary": L.PRIMARY} | L.SECONDARY).items()) + " END"
-cte("named_deltas", "deltas", f"SELECT *, {_NAMED} AS endpoint FROM deltas WHERE {_NAMED} IS NOT NULL")
-cte("named_mc", "named_deltas", mc_sql("named_deltas", "endpoint", SEED))
-cte("endpoints", "named_deltas named_mc", """
+    CASE WHEN {" OR ".join(_cell_sql(s) for s in L.SECONDARY.values())} THEN p_signflip END AS p2 FROM summary{suffix}""")
+    cte(f"flagged_all{suffix}", f"flagged{suffix}", holm_sql(f"flagged{suffix}", "p_signflip", "", CELL, "holm_all"))
+    cte(f"endpoints{suffix}", f"named_deltas named_mc{suffix}", f"""
   SELECT *, CASE WHEN endpoint <> 'primary' THEN p_mc END AS p2, mean_delta > 0 AND p_mc < 0.05 AS supported FROM (
     SELECT endpoint, count(*) AS n_patients, avg(delta) AS mean_delta, median(delta) AS median_delta, count(*) FILTER (WHERE delta > 0) AS wins,
       count(*) FILTER (WHERE abs(delta) <= 1e-15) AS ties, count(*) FILTER (WHERE delta < 0) AS losses FROM named_deltas GROUP BY endpoint)
-  JOIN named_mc USING (endpoint)""")
-
-
-@query("endpoint_table", "endpoint n_patients:i mean_delta:d median_delta:d wins:i ties:i losses:i p_mc:d holm_adjusted_p:d supported", "endpoints",
-       holm_sql("endpoints", "p2", "", "endpoint", "holm_adjusted_p"))
-def _(spark, sf):
-    return L.endpoint_table(deltas(spark, sf), DRAWS, SEED)
-
-
-@query("support_rule", "endpoint supported", "endpoints", "SELECT endpoint, supported FROM endpoints")
-def _(spark, sf):
-    return L.endpoint_table(deltas(spark, sf), DRAWS, SEED)
-
-
-# ---- the same tables at the reference's draw numbers; the smaller queries above let SQL check the draw rule ----
+  JOIN named_mc{suffix} USING (endpoint)""")
 
-FULL_DRAWS = 200_000
+    @query(f"contrast_summary{suffix}", _SUMMARY, f"summary{suffix}", f"FROM summary{suffix}")
+    def _(spark, sf):
+        """All contrasts; p_signflip is exact where a cell has at most 20 non-zero deltas."""
+        return summary(spark, sf, suffix)
 
+    @query(f"endpoint_flags{suffix}", f"{_CELL_COLS} p_signflip:d is_primary is_secondary holm_all:d holm_secondary:d", f"flagged_all{suffix}",
+           holm_sql(f"flagged_all{suffix}", "p2", "", CELL, "holm_secondary"))
+    def _(spark, sf):
+        return L.endpoint_flags(summary(spark, sf, suffix), "p_signflip")
 
-def endpoint_mc(d, draws, seed, keys):
-    """Ten million flips of the primary endpoint, two million of each secondary one."""
-    primary = L.signflip_mc(d.where("endpoint = 'primary'"), draws, seed, keys)
-    return primary.unionByName(L.signflip_mc(d.where("endpoint <> 'primary'"), draws // 5, 20261000, keys))
+    @query(f"correspondence_trajectory{suffix}", f"{_CELL_COLS} mean_delta:d ci_low:d ci_high:d", f"summary{suffix}", f"""
+  SELECT * FROM summary{suffix} WHERE contrast = 'relation_vs_relation_perm' ORDER BY target, metric, context_k""")
+    def _(spark, sf):
+        return L.correspondence_trajectory(summary(spark, sf, suffix))
 
+    @query(f"endpoint_table{suffix}", "endpoint n_patients:i mean_delta:d median_delta:d wins:i ties:i losses:i n_draws:i p_mc:d9 holm_adjusted_p:d9 supported",
+           f"endpoints{suffix}", holm_sql(f"endpoints{suffix}", "p2", "", "endpoint", "holm_adjusted_p"))
+    def _(spark, sf):
+        return endpoints(spark, sf, suffix)
 
-def full_summary(spark, sf):
-    return stage(
-        spark, sf, "full_summary",
-        lambda: L.contrast_summary(deltas(spark, sf), FULL_DRAWS, FULL_DRAWS, SEED, mc=L.signflip_mc, boot=L.bootstrap_ci),
-    )
-
-
-def full_endpoints(spark, sf):
-    return stage(spark, sf, "full_endpoints", lambda: L.endpoint_table(deltas(spark, sf), 10_000_000, 20260927, mc=endpoint_mc))
-
+    @query(f"support_rule{suffix}", "endpoint supported", f"endpoints{suffix}", f"SELECT endpoint, supported FROM endpoints{suffix}")
+    def _(spark, sf):
+        return endpoints(spark, sf, suffix)
 
-@query("contrast_summary_full", f"{_CELL_COLS} {_EFFECT} ci_low:d ci_high:d rank_biserial:d w:d z:d p_sign:d p_signflip:d9 relative_improvement_pct:d")
-def _(spark, sf):
-    """All contrasts; p_signflip is exact where a cell has at most 20 non-zero deltas."""
-    return full_summary(spark, sf)
-
-
-@query("endpoint_flags_full", f"{_CELL_COLS} p_signflip:d9 is_primary is_secondary holm_all:d9 holm_secondary:d9")
-def _(spark, sf):
-    return L.endpoint_flags(full_summary(spark, sf), "p_signflip")
 
-
-@query("correspondence_trajectory_full", f"{_CELL_COLS} mean_delta:d ci_low:d ci_high:d")
-def _(spark, sf):
-    return L.correspondence_trajectory(full_summary(spark, sf))
-
-
-@query("endpoint_table_full", "endpoint n_patients:i mean_delta:d median_delta:d wins:i ties:i losses:i n_draws:i p_mc:d9 holm_adjusted_p:d9 supported")
-def _(spark, sf):
-    return full_endpoints(spark, sf)
-
-
-@query("support_rule_full", "endpoint supported")
-def _(spark, sf):
-    return full_endpoints(spark, sf)
+for _s in DRAWS:
+    _tables(_s)
 
 
 # ---- stress tests: late target at the largest context ---------------------------------------------------

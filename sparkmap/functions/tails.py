@@ -35,13 +35,23 @@ def _at_least(n: int, p: float, k: int) -> float:
 
 
 def _solve(n: int, k: int, target: float) -> float:
-    """The p at which P(X >= k) reaches the target, by bisection (it grows with p)."""
+    """The p at which P(X >= k) reaches the target (it grows with p): Newton steps, halving where one leaves the bracket."""
     low, high = 0.0, 1.0
+    share = k / n
+    p = share + math.copysign(1.96, target - 0.5) * math.sqrt(share * (1.0 - share) / n)
+    log_scale = math.lgamma(n + 1) - math.lgamma(k) - math.lgamma(n - k + 1)
     while True:
-        mid = (low + high) / 2
-        if mid in (low, high):
-            return mid
-        low, high = (low, mid) if _at_least(n, mid, k) > target else (mid, high)
+        if not low < p < high:
+            p = (low + high) / 2
+            if p in (low, high):
+                return p
+        miss = _at_least(n, p, k) - target
+        low, high = (low, p) if miss > 0 else (p, high)
+        slope = math.exp(log_scale + (k - 1) * math.log(p) + (n - k) * math.log1p(-p))
+        step = miss / slope if slope > 0 else math.inf
+        if abs(step) <= 2e-15 * p:
+            return p - step
+        p -= step
 
 
 @F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))

@@ -3,27 +3,19 @@
 Deltas are long: cell keys, `subject`, `a`, `b`, `delta`.  A cell is one
 (k, target, contrast, metric); all cells go through one job.
 
-Resampling has one rule for its draws, whatever the size of a cell: the sign of a
-patient in draw d is bit d mod 32 of md5(seed | d div 32 | patient), and slot j of
-resample d takes patient md5(seed | d | j) mod n.  Two forms carry it out.  Where a
-cell's deltas fit into one array, blocks of draws are done in numpy; where they do
-not, every (draw, patient) is a row of a map-side combined sum.  Both give the same
-draws, so a cell's result does not hang on the form it took.
+The seeded resamples are in `resampling`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from hashlib import md5
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkmap.functions.hashing import hash_long
-from sparkmap.functions.tails import binomial_at_most, normal_two_sided, tail_interval
+from sparkmap.functions.tails import binomial_at_most, normal_two_sided
 from sparkmap.operators.metrics import METRICS
-from sparkmap.operators.ordering import Quantile, average_ranks, cumulative, median, positions, quantiles
+from sparkmap.operators.ordering import average_ranks, cumulative, median, positions, quantiles
+from sparkmap.operators.resampling import _tasks, bootstrap_ci, signflip_mc
 
 # Tolerances, and the contrasts of the nested conditions with their k.
 TIE_EXTERNAL = 1e-15
@@ -47,8 +39,6 @@ SECONDARY = {
     "early_k10_relation_vs_perm_spearman": (10, "early", "spearman", "relation_vs_relation_perm"),
 }
 CELL = ["contrast", "context_k", "target", "metric"]
-ARRAY_CELL = 65_536
-WORD = 32
 MAX_EXACT = 20
 MAX_EXACT_RANKS = 50
 MASKS = 1 << 12
@@ -143,26 +133,30 @@ def rank_biserial(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     )
 
 
+def _rank_sums(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per cell the rank sums of both signs and the tie term, from the counts of each size; no row is ranked by itself."""
+    sized = deltas.where("delta <> 0").select(*keys, F.abs("delta").alias("size"), F.when(F.col("delta") > 0, 1).otherwise(0).alias("up"))
+    n, rank = F.col("n").cast("double"), F.col("before") + (F.col("n") + 1) / F.lit(2.0)
+    return cumulative(sized, keys, "size", ["up"]).groupBy(*keys).agg(
+        F.sum("n").alias("n_nonzero"),
+        F.sum(F.col("up") * rank).alias("w_plus"),
+        F.sum((F.col("n") - F.col("up")) * rank).alias("w_minus"),
+        F.sum(n * n * n - n).alias("tie_term"),
+    )
+
+
 def wilcoxon(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Signed rank W, tie-corrected z (no continuity correction) and two-sided normal p; p is 1 if all deltas are 0."""
-    ranks = signed_ranks(deltas, keys)
-    sums = ranks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_nonzero"),
-        F.sum(F.when(F.col("delta") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("delta") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"),
-    )
-    groups = cumulative(ranks, keys, "size").groupBy(*keys).agg(
-        F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("tie_term")
-    )
+    sums = _rank_sums(deltas, keys)
     n = F.col("n_nonzero").cast("double")
     w = F.least("w_plus", "w_minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     z = F.when(var > 0, (w - n * (n + 1) / 4) / F.sqrt(var))
-    cells = deltas.where("delta IS NOT NULL").select(*keys).distinct()
-    found = sums.join(groups, list(keys)).select(*keys, "n_nonzero", w.alias("w"), z.alias("z"))
+    cells = deltas.where("delta IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_deltas"))
+    found = sums.select(*keys, "n_nonzero", w.alias("w"), z.alias("z"), (F.col("tie_term") > 0).alias("ties"))
     return (
         cells.join(found, list(keys), "left")
-        .withColumn("n_nonzero", F.coalesce("n_nonzero", F.lit(0)))
+        .withColumns({"n_nonzero": F.coalesce("n_nonzero", F.lit(0)), "ties": F.coalesce("ties", F.lit(False))})
         .withColumn("p_wilcoxon", F.when(F.col("n_nonzero") == 0, F.lit(1.0)).otherwise(normal_two_sided("z")))
     )
 
@@ -204,16 +198,19 @@ def wilcoxon_exact(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 
 
 def wilcoxon_auto(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """Signed rank W with the exact p where there are at most 50 deltas, none zero and none tied, else the normal one."""
-    sized = deltas.where("delta IS NOT NULL").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct(F.abs("delta")).alias("_d"), F.count_if(F.col("delta") == 0).alias("_zero")
-    )
-    plain = (F.col("_n") <= MAX_EXACT_RANKS) & (F.col("_n") == F.col("_d")) & (F.col("_zero") == 0)
-    exact = wilcoxon_exact(deltas, keys).select(*keys, F.col("p_wilcoxon").alias("_exact"))
+    """Signed rank W with the exact p where there are at most 50 deltas, none zero and none tied, else the normal one.
+
+    Without ties the ranks are 1 to n, so the exact p follows from n and W alone.
+    """
+    plain = (F.col("n_deltas") <= MAX_EXACT_RANKS) & (F.col("n_deltas") == F.col("n_nonzero")) & ~F.col("ties")
+    n = F.col("n_nonzero").cast("int")
+    counts = F.slice(_ways(F.sequence(F.lit(1), n)), 1, F.col("w").cast("int") + 1)
+    tail = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    exact = F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n))
     return (
-        wilcoxon(deltas, keys).join(sized.select(*keys, plain.alias("is_exact")), list(keys)).join(exact, list(keys), "left")
-        .withColumn("p_wilcoxon", F.when(F.col("is_exact"), F.col("_exact")).otherwise(F.col("p_wilcoxon")))
-        .drop("_exact")
+        wilcoxon(deltas, keys).withColumn("is_exact", plain)
+        .withColumn("p_wilcoxon", F.when(F.col("is_exact"), exact).otherwise(F.col("p_wilcoxon")))
+        .drop("n_deltas", "ties")
     )
 
 
@@ -264,172 +261,6 @@ def sign_test(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return counts.withColumn("p_sign", p)
 
 
-def _tasks(df: DataFrame) -> int:
-    """Tasks for work that is large although its input is small.
-
-    A fixed number, because AQE would merge the few input bytes into one task.
-    """
-    return 4 * df.sparkSession.sparkContext.defaultParallelism
-
-
-def _draw_rows(deltas: DataFrame, keys: Sequence[str], draws: int, block: int) -> DataFrame:
-    """Every delta once per draw, spread by (cell, block of draws) so each block is summed in place."""
-    blocks = (draws + block - 1) // block
-    b = F.col("_block")
-    return (
-        deltas.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .repartition(_tasks(deltas), *keys, "_block")
-        .withColumn("draw", F.explode(F.sequence(b * block, F.least((b + 1) * block, F.lit(draws)) - 1)))
-    )
-
-
-def signflip_hashed(deltas: DataFrame, draws: int, seed: int, keys: Sequence[str] = CELL, block: int = 1000) -> DataFrame:
-    """Monte-Carlo sign flip with hashed signs: cells of any size."""
-    d = deltas.where("delta IS NOT NULL").select(*keys, "subject", "delta")
-    observed = d.groupBy(*keys).agg(F.abs(F.avg("delta")).alias("observed"))
-    # one hash gives the signs of a patient in 32 draws; patients of a cell are dealt over tasks and summed in part
-    words = (draws + WORD - 1) // WORD
-    hashed = (
-        d.withColumn("_word", F.explode(F.sequence(F.lit(0), F.lit(words - 1))))
-        .repartition(_tasks(d), *keys, "_word", F.pmod(F.xxhash64("subject"), F.lit(16)))
-        .withColumn("_bits", hash_long(F.lit(seed), F.col("_word"), F.col("subject")))
-        .withColumn("_bit", F.explode(F.sequence(F.lit(0), F.least(F.lit(WORD), draws - F.col("_word") * WORD) - 1)))
-    )
-    sign = F.when(F.getbit("_bits", F.col("_bit")) == 0, 1.0).otherwise(-1.0)
-    means = hashed.groupBy(*keys, "_word", "_bit").agg(F.abs(F.avg(sign * F.col("delta"))).alias("m"))
-    hits = means.join(observed, list(keys)).groupBy(*keys).agg(
-        F.count_if(F.col("m") >= F.col("observed") - F.lit(1e-15)).alias("n_extreme")
-    )
-    return _with_mc_p(hits, draws)
-
-
-def _with_mc_p(hits: DataFrame, draws: int) -> DataFrame:
-    low, high = tail_interval(F.col("n_extreme"), F.lit(draws).cast("bigint"))
-    return (
-        hits.withColumn("n_draws", F.lit(draws).cast("bigint"))
-        .withColumn("p_mc", (F.col("n_extreme") + 1) / F.lit(draws + 1.0))
-        .withColumn("mc_ci_low", low)
-        .withColumn("mc_ci_high", high)
-    )
-
-
-def _cells(deltas: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Cells small enough to travel as one array, and the deltas of all others."""
-    d = deltas.where("delta IS NOT NULL").select(*keys, "subject", "delta")
-    size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small = d.join(size.where(F.col("_n") <= ARRAY_CELL).select(*keys), list(keys), "left_semi")
-    large = d.join(size.where(F.col("_n") > ARRAY_CELL).select(*keys), list(keys), "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("subject", "delta")))
-    arrays = small.groupBy(*keys).agg(
-        F.transform(ordered, lambda x: x["delta"]).alias("deltas"), F.transform(ordered, lambda x: x["subject"]).alias("subjects")
-    )
-    return arrays, large
-
-
-def _blocks(arrays: DataFrame, keys: Sequence[str], draws: int, block: int) -> DataFrame:
-    n = (draws + block - 1) // block
-    return (
-        arrays.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .withColumn("_size", F.least(F.lit(block), F.lit(draws) - F.col("_block") * block))
-        .repartition(_tasks(arrays), *keys, "_block")
-    )
-
-
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    types = dict(df.dtypes)
-    return ", ".join(f"`{k}` {types[k]}" for k in keys)
-
-
-def signflip_mc(
-    deltas: DataFrame, draws: int = 10_000_000, seed: int = 20260927, keys: Sequence[str] = CELL, block: int = 50_000
-) -> DataFrame:
-    """Two-sided Monte-Carlo sign flip: p = (extreme + 1) / (draws + 1), with its exact interval."""
-    keys = list(keys)
-    block = -(-block // WORD) * WORD
-    arrays, large = _cells(deltas, keys)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            hits = []
-            for row in frame.itertuples(index=False):
-                d = np.asarray(row.deltas, dtype=np.float64)
-                first = row.block * block // WORD
-                words = range(first, first - (-row.size // WORD))
-                total = np.zeros(row.size)
-                for subject, delta in zip(row.subjects, d):
-                    tail = f"|{subject}".encode()
-                    heads = b"".join([md5(f"{seed}|{w}".encode() + tail).digest()[:4] for w in words])
-                    bits = np.unpackbits(np.frombuffer(heads, ">u4").astype("<u4").view(np.uint8), bitorder="little")
-                    total += delta * (1.0 - 2.0 * bits[: row.size])
-                hits.append(int((np.abs(total) / d.size >= abs(d.mean()) - 1e-15).sum()))
-            yield frame[keys].assign(n_extreme=hits)
-
-    counted = (
-        _blocks(arrays, keys, draws, block)
-        .withColumnsRenamed({"_block": "block", "_size": "size"})
-        .mapInPandas(run, f"{_key_schema(arrays, keys)}, n_extreme bigint")
-        .groupBy(*keys)
-        .agg(F.sum("n_extreme").alias("n_extreme"))
-    )
-    return _with_mc_p(counted, draws).unionByName(signflip_hashed(large, draws, seed, keys))
-
-
-def bootstrap_hashed(
-    deltas: DataFrame, draws: int, seed: int, keys: Sequence[str] = CELL, stat: str = "mean", block: int = 1000
-) -> DataFrame:
-    """Percentile interval of the mean or median over patient resamples, cells of any size.
-
-    Slot j of draw b takes patient hash(seed, b, j) mod n: an equi join on the
-    patient's position, then one map-side combined aggregate per draw.
-    """
-    keys = list(keys)
-    d = positions(deltas.where("delta IS NOT NULL"), keys, ["subject", "delta"])
-    slots = _draw_rows(d.select(*keys, F.col("pos").alias("slot"), "total"), keys, draws, block).withColumn(
-        "pos", F.pmod(hash_long(F.lit(seed), F.col("draw"), F.col("slot")), F.col("total"))
-    )
-    picked = slots.join(d.select(*keys, "pos", "delta"), [*keys, "pos"])
-    if stat == "mean":
-        per_draw = picked.groupBy(*keys, "draw").agg(F.avg("delta").alias("value"))
-    else:
-        per_draw = quantiles(picked, [*keys, "draw"], {"value": median("delta")})
-    return _interval(per_draw, keys, draws)
-
-
-def _interval(per_draw: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
-    """2.5 and 97.5 % points of one value per draw; a cell holds exactly `draws` of them."""
-    return quantiles(per_draw, keys, {"ci_low": Quantile("value", 0.025), "ci_high": Quantile("value", 0.975)})
-
-
-def bootstrap_ci(
-    deltas: DataFrame, draws: int = 200_000, seed: int = 20260928, keys: Sequence[str] = CELL,
-    stat: str = "mean", block: int = 10_000,
-) -> DataFrame:
-    """Percentile interval of resamples, in blocks of draws."""
-    keys = list(keys)
-    arrays, large = _cells(deltas, keys)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                d = np.asarray(row.deltas, dtype=np.float64)
-                step = max(1, 1_000_000 // d.size)
-                for start in range(row.block * block, row.block * block + row.size, step):
-                    chosen = range(start, min(start + step, row.block * block + row.size))
-                    heads = b"".join([md5(b"%d|%d|%d" % (seed, draw, slot)).digest()[:4] for draw in chosen for slot in range(d.size)])
-                    take = d[np.frombuffer(heads, ">u4").reshape(-1, d.size) % d.size]
-                    out = pd.DataFrame({"value": take.mean(axis=1) if stat == "mean" else np.median(take, axis=1)})
-                    for k in keys:
-                        out[k] = getattr(row, k)
-                    yield out[[*keys, "value"]]
-
-    per_draw = (
-        _blocks(arrays, keys, draws, block)
-        .withColumnsRenamed({"_block": "block", "_size": "size"})
-        .mapInPandas(run, f"{_key_schema(arrays, keys)}, value double")
-    )
-    return _interval(per_draw, keys, draws).unionByName(bootstrap_hashed(large, draws, seed, keys, stat))
-
-
 def holm(df: DataFrame, p: str, out: str, family: Sequence[str] = (), id_cols: Sequence[str] = ()) -> DataFrame:
     """Step-down adjusted p inside each family; a missing p stays missing and is not counted.
 
@@ -466,26 +297,26 @@ def relative_improvement(deltas: DataFrame, keys: Sequence[str] = CELL) -> DataF
     )
 
 
-def contrast_summary(
-    deltas: DataFrame, bootstrap_draws: int, mc_draws: int, seed: int, mc=signflip_hashed, boot=bootstrap_hashed
-) -> DataFrame:
-    """Effects, intervals and tests of every cell: exact sign flip where the cell allows, else Monte Carlo."""
+def contrast_summary(deltas: DataFrame, grid: DataFrame, bootstrap_draws: int, mc_draws: int, seed: int) -> DataFrame:
+    """Effects, intervals and tests of every cell of `grid`: exact sign flip where the cell allows, else Monte Carlo.
+
+    `delta_definition` names the conditions in the order of the difference.
+    """
     keys = CELL
-    ci = boot(deltas, bootstrap_draws, seed, keys)
-    mc_p = mc(deltas, mc_draws, seed + 1, keys).select(*keys, "p_mc")
-    exact = signflip_exact(deltas, keys).select(*keys, "p_exact")
     out = effect_summary(deltas, keys)
     for part in (
-        ci,
+        bootstrap_ci(deltas, bootstrap_draws, seed, keys),
         rank_biserial(deltas, keys),
         wilcoxon_auto(deltas, keys).select(*keys, "w", "z", "p_wilcoxon"),
         sign_test(deltas, keys).select(*keys, "p_sign"),
-        mc_p,
-        exact,
+        signflip_mc(deltas, mc_draws, seed + 1, keys).select(*keys, "p_mc"),
+        signflip_exact(deltas, keys).select(*keys, "p_exact"),
         relative_improvement(deltas, keys),
     ):
         out = out.join(part, keys, "left")
-    return out.withColumn("p_signflip", F.coalesce("p_exact", "p_mc"))
+    first, second = (F.when(F.col("lower_is_better"), F.col(a)).otherwise(F.col(b)) for a, b in (("condition_b", "condition_a"), ("condition_a", "condition_b")))
+    named = grid.withColumn("delta_definition", F.concat(first, F.lit(" - "), second)).drop("lower_is_better")
+    return out.join(F.broadcast(named), keys, "left").withColumn("p_signflip", F.coalesce("p_exact", "p_mc"))  # at most 112 planned cells
 
 
 def endpoint_flags(summary: DataFrame, p: str) -> DataFrame:
@@ -522,12 +353,21 @@ def endpoint_name() -> Column:
     return name
 
 
-def endpoint_table(deltas: DataFrame, draws: int, seed: int, mc=signflip_hashed) -> DataFrame:
-    """The primary and six secondary endpoints with p, interval and Holm-adjusted p (secondary family)."""
+def endpoint_mc(deltas: DataFrame, draws: int, secondary_draws: int, seed: int, secondary_seed: int) -> DataFrame:
+    """Monte-Carlo sign flips of named endpoints, the secondary ones with draws of their own."""
+    primary = signflip_mc(deltas.where("endpoint = 'primary'"), draws, seed, ["endpoint"])
+    return primary.unionByName(signflip_mc(deltas.where("endpoint <> 'primary'"), secondary_draws, secondary_seed, ["endpoint"]))
+
+
+def endpoint_table(deltas: DataFrame, mc: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The primary and six secondary endpoints with p, interval and Holm-adjusted p (secondary family).
+
+    `mc` gives the Monte-Carlo results of named endpoints, as `endpoint_mc` does.
+    """
     chosen = deltas.withColumn("endpoint", endpoint_name()).where("endpoint IS NOT NULL")
     keys = ["endpoint"]
     effects = effect_summary(chosen, keys, TIE_EXTERNAL, strict_wins=True)
-    out = effects.join(mc(chosen, draws, seed, keys), keys).join(sign_test(chosen, keys).select("endpoint", "p_sign"), keys)
+    out = effects.join(mc(chosen), keys).join(sign_test(chosen, keys).select("endpoint", "p_sign"), keys)
     out = out.withColumn("_p2", F.when(F.col("endpoint") != "primary", F.col("p_mc")))
     out = holm(out, "_p2", "holm_adjusted_p", [], keys).drop("_p2")
     return out.withColumn("supported", support_rule(F.col("mean_delta"), F.col("p_mc")))
