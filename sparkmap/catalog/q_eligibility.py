@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sparkmap.catalog.q_geometry import site_pairs
 from sparkmap.catalog.registry import cte, query
-from sparkmap.catalog.roles import contact_points, maps, stage, table, trial_table, trials
-from sparkmap.operators import eligibility, quality
+from sparkmap.catalog.roles import contact_points, maps, pulse_samples, pulses, stage, table, trial_table, trials
+from sparkmap.functions import signal
+from sparkmap.operators import eligibility, quality, response
 from sparkmap.session import shared_folder
 from sparkmap.sources import files, tables
 from sparkmap.streaming import runs
@@ -407,16 +408,43 @@ def _(spark, sf):
     return left.groupBy("run_base").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_runs_incremental", "run_base n:i late:d", "trials", """
-  SELECT run_base, count(*) AS n, avg(late_rms_z) AS late FROM trials GROUP BY run_base""")
-def _(spark, sf):
-    """The trials as a stream of files, ingested run by run, then read back."""
-    t = stage(spark, sf, "trials_source", lambda: trials(spark, sf).select("run_base", "late_rms_z"))
-    source = t.inputFiles()[0].rsplit("/", 1)[0]
-    target = f"{source}-ingested"
-    runs.ingest_runs_incremental(spark, source, t.schema, target, f"{source}-stream")
-    done = spark.read.parquet(target)
-    return done.groupBy("run_base").agg(F.count(F.lit(1)).alias("n"), F.avg("late_rms_z").alias("late"))
+cte("pulse_pieces", "pulses pulse_samples", """
+  SELECT p.user_id, event_id, sample_idx, value, sample_idx < mid AS before FROM pulses p JOIN pulse_samples s
+  ON p.user_id = s.user_id AND sample_idx >= lo AND sample_idx < hi""")
+cte("pulse_center", "pulse_pieces", """
+  SELECT user_id, event_id, median(value) FILTER (WHERE before) AS center, count(*) FILTER (WHERE before) AS n_before FROM pulse_pieces GROUP BY ALL""")
+
+
+def pulse_trials(pieces):
+    """Trials of the kept samples: the level before the pulse, and the root mean square about it afterwards."""
+    inside = F.collect_list(F.struct("sample_idx", F.col("value").cast("double").alias("value"), (F.col("sample_idx") < F.col("mid")).alias("before")))
+    windows = pieces.groupBy("run_base", "event_id").agg(F.array_sort(inside).alias("w"))  # a window's samples
+    side = lambda before: F.transform(F.filter("w", lambda x: x["before"] == before), lambda x: x["value"])
+    center = F.when(F.size("first") > 0, signal.robust_center(F.col("first")))
+    return (
+        windows.withColumns({"first": side(True), "rest": side(False)})
+        .withColumn("center", center)
+        .select(
+            "run_base", "event_id", F.size("first").alias("n_before"), F.size("rest").alias("n_after"), "center",
+            F.when(F.size("rest") > 0, signal.rms(F.transform("rest", lambda x: x - F.col("center")))).alias("late_rms"),
+        )
+    )
+
+
+@query("ingest_runs_incremental", "run_base event_id:i n_before:i n_after:i center:d late_rms:d", "pulse_pieces pulse_center", """
+  SELECT CAST(user_id AS VARCHAR) AS run_base, event_id, max(n_before) AS n_before, count(*) FILTER (WHERE NOT before) AS n_after, max(center) AS center,
+    sqrt(avg((value - center) * (value - center)) FILTER (WHERE NOT before)) AS late_rms FROM pulse_pieces JOIN pulse_center USING (user_id, event_id) GROUP BY ALL""")
+def _(spark, sf):
+    """Samples as a stream of files dealt at random, so windows cross file borders; trials of each run once its last sample is there."""
+    samples = pulse_samples(spark, sf).withColumnRenamed("user_id", "run_base")
+    source = stage(spark, sf, "samples_source", lambda: samples.repartition(6, F.xxhash64("run_base", "sample_idx", "value")))
+    events = pulses(spark, sf).withColumn("run_base", F.col("user_id").cast("string")).drop("user_id")
+    expected = source.groupBy(F.col("run_base").cast("string").alias("run_base")).agg(F.count(F.lit(1)).alias("n_rows"))
+    folder = _fresh(spark, "ingest")
+    cut = lambda batch: response.cut_epochs(events, batch, ["run_base"], 24 * 3600).select("run_base", "event_id", "mid", "sample_idx", "value")
+    runs.ingest_samples(spark, source.inputFiles()[0].rsplit("/", 1)[0], source.schema, expected, cut, pulse_trials, folder, max_files=2)
+    columns = pulse_trials(cut(source.limit(0).withColumn("run_base", F.col("run_base").cast("string")))).schema
+    return runs.finalise(spark, expected, columns, folder, f"{folder}/final")
 
 
 # ---- sources and sinks: written in one format, read back through the reader ------------------------------

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from sparkmap.operators.response import cut_epochs
 from sparkmap.sources import files, tables
 from sparkmap.streaming import runs
 
@@ -73,6 +74,43 @@ def test_incremental_ingest_reads_each_file_once(spark, tmp_path):
     assert sorted(r["v"] for r in spark.read.parquet(dst).collect()) == [0, 10, 20, 30, 40, 50]
 
 
+def test_samples_across_files(spark, tmp_path):
+    """A window over two files, a late file, a repeated batch, and a gate that waits for the last run."""
+    src, folder, out = str(tmp_path / "src"), str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(run, i, float(i * (1 + k))) for k, run in enumerate(("01", "02")) for i in range(20)]
+    df = spark.createDataFrame(rows, "run_base string, sample_idx long, value double")
+    events = spark.createDataFrame([("01", 7, 5, 15), ("02", 8, 8, 12)], "run_base string, event int, lo long, hi long")
+    expected = spark.createDataFrame([("01", 20), ("02", 20)], "run_base string, n_rows long")
+    cut = lambda b: cut_epochs(events, b, ["run_base"], 4).select("run_base", "event", "sample_idx", "value")
+    extract = lambda p: p.groupBy("run_base", "event").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    columns = extract(cut(df)).schema
+    go = lambda: runs.ingest_samples(spark, src, df.schema, expected, cut, extract, folder, max_files=1)
+    trials = lambda: sorted(map(tuple, spark.read.parquet(f"{folder}/trials").select("event", "n", "total").collect()))
+    for part in ("sample_idx < 10", "sample_idx >= 10 AND run_base = '01'", "sample_idx BETWEEN 10 AND 14 AND run_base = '02'"):
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+    go()
+    assert trials() == [(7, 10, float(sum(range(5, 15))))]  # the window reaches over two files
+    report = {r.run_base: r.status for r in runs.ledger_report(expected, runs.ledger(spark, folder)).collect()}
+    assert report == {"01": "completed", "02": "open"}
+    with pytest.raises(RuntimeError, match="1 of 2 runs"):
+        runs.finalise(spark, expected, columns, folder, out)
+    df.where("sample_idx >= 15 AND run_base = '02'").coalesce(1).write.mode("append").parquet(src)  # the late file
+    go()
+    assert trials() == [(7, 10, float(sum(range(5, 15)))), (8, 4, 2.0 * sum(range(8, 12)))]
+    last = max((tmp_path / "in" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the job had died before the commit of its last batch
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    go()
+    assert len(trials()) == 2 and runs.ledger(spark, folder).agg(F.sum("n_rows")).first()[0] == 40
+    assert {r.event: r.n for r in runs.finalise(spark, expected, columns, folder, out).collect()} == {7: 10, 8: 4}
+    with pytest.raises(Exception, match="exist"):
+        runs.finalise(spark, expected, columns, folder, out)
+    more = spark.createDataFrame([("01", 20), ("02", 20), ("03", 5)], "run_base string, n_rows long")
+    assert {r.status for r in runs.ledger_report(more, runs.ledger(spark, folder)).collect()} == {"completed", "waiting"}
+    less = spark.createDataFrame([("01", 19)], "run_base string, n_rows long")
+    assert {r.status for r in runs.ledger_report(less, runs.ledger(spark, folder)).collect()} == {"overfull", "unexpected"}
+
+
 def test_progress(spark):
     f = lambda *r: spark.createDataFrame([(x,) for x in r], "run_base string")
     report = runs.progress_report(f("a", "b", "c"), f("a"), f("a", "b", "x"))
