@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkmap.catalog.q_geometry import feature_rows
 from sparkmap.catalog.registry import cte, query
-from sparkmap.catalog.roles import maps, stage, trial_table, trials
+from sparkmap.catalog.roles import channel_points, maps, site_points, stage, trial_table, trials
 from sparkmap.functions.hashing import stable_seed
 from sparkmap.operators import hierarchy as H, metrics as K
 from sparkmap.plans import context as P
@@ -272,19 +272,42 @@ def _(spark, sf):
     return H.population_prior(H.normalised_map(maps(spark, sf)))
 
 
-cte("line", "map split", f"""
-  SELECT {each("regr_slope(ln(1 + @_rms_z), distance_to_stim) AS b_@, regr_intercept(ln(1 + @_rms_z), distance_to_stim) AS a_@")}
-  FROM map JOIN split USING (subject, stim_site) WHERE split = 'train'""")
-
-
-@query("linear_prior", "subject stim_site recording_channel pop_early:d pop_late:d", "map line", f"""
-  SELECT subject, stim_site, recording_channel, {each("a_@ + b_@ * distance_to_stim AS pop_@")} FROM map, line""")
+# sixteen features of a cell: places of the channel and the site, the site's axis, and the distance in three shapes
+_FEATURES = {
+    "cx": "c.x", "cy": "c.y", "cz": "c.z", "mx": "mid_x", "my": "mid_y", "mz": "mid_z", "len": "pair_length",
+    "axx": "axis_xx", "ayy": "axis_yy", "axy": "axis_xy", "axz": "axis_xz", "ayz": "axis_yz",
+    "d": "distance_to_stim", "d2": "distance_to_stim * distance_to_stim", "ld": "ln(1 + distance_to_stim)", "xx": "c.x * mid_x",
+}
+_P = len(_FEATURES) + 1
+cte("features16", "map channel_points site_points", f"""
+  SELECT m.subject, m.stim_site, m.recording_channel, {each("ln(1 + @_rms_z) AS @")}, {", ".join(f"{e} AS {n}" for n, e in _FEATURES.items())}
+  FROM map m JOIN channel_points c ON c.subject = m.subject AND c.recording_channel = m.recording_channel
+  JOIN site_points s ON s.subject = m.subject AND s.stim_site = m.stim_site""")
+cte("design", "features16", f"""
+  SELECT subject, stim_site, recording_channel, [1.0::DOUBLE, {", ".join(f"({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () > 0 THEN stddev_pop({n}) OVER () ELSE 1 END" for n in _FEATURES)}] AS x,
+    {", ".join(_T)} FROM features16""")
+cte("normal", "design", f"""
+  SELECT subject, list(v ORDER BY j) AS r, i FROM (
+    SELECT DISTINCT subject, i, j, sum(v) OVER (PARTITION BY i, j) - sum(v) OVER (PARTITION BY subject, i, j) AS v FROM (
+      SELECT subject, i, j, sum(x[i] * z[j]) AS v FROM (SELECT subject, x, list_concat(x, [{", ".join(_T)}]) AS z FROM design), range(1, {_P + 1}) a(i), range(1, {_P + 3}) b(j)
+      GROUP BY ALL)) GROUP BY subject, i""")
+# Gauss-Jordan, one pivot a step; the matrix is positive definite
+cte("weights16", "normal", f"""
+  WITH RECURSIVE g AS (SELECT subject, 0 AS k, list(r ORDER BY i) AS m FROM normal GROUP BY subject
+    UNION ALL SELECT subject, k + 1, list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1])
+      ELSE list_transform(range(1, {_P + 3}), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM g WHERE k < {_P})
+  SELECT subject, list_transform(m, lambda r: r[{_P + 1}]) AS b_early, list_transform(m, lambda r: r[{_P + 2}]) AS b_late FROM g WHERE k = {_P}""")
+
+
+@query("linear_prior", "subject stim_site recording_channel pop_early:d pop_late:d", "design weights16", f"""
+  SELECT subject, stim_site, recording_channel, {each("list_inner_product(x, b_@) AS pop_@")} FROM design JOIN weights16 USING (subject)""")
 def _(spark, sf):
     m = maps(spark, sf).select(
         *_CELLS, "distance_to_stim", F.log1p("early_rms_z").alias("early"), F.log1p("late_rms_z").alias("late")
     )
-    train = P.internal_split(sites(spark, sf), SEED).where("split = 'train'")
-    return H.linear_prior(m.join(train, ["subject", "stim_site"], "left_semi"), m, ["distance_to_stim"], _T)
+    placed = m.join(channel_points(spark, sf).alias("c"), ["subject", "recording_channel"]).join(site_points(spark, sf), ["subject", "stim_site"])
+    rows = placed.select(*_CELLS, *_T, *[F.expr(e).alias(n) for n, e in _FEATURES.items()])
+    return H.linear_prior(rows, list(_FEATURES), _T)
 
 
 @query("global_shift", "subject context_k:i repeat:i c_early:d c_late:d", "shift", "FROM shift")

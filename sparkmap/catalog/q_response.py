@@ -149,15 +149,49 @@ def _(spark, sf):
     return kept.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("extraction_qc", "n_trial_rows:i n_events:i n_runs_seen:i n_map_rows:i n_sites:i n_low_trial_rows:i min_trials:i max_trials:i median_trials:d late_min:d9 late_p01:d9 late_p50:d9 late_p99:d9 late_max:d9",
-       "trials map", """
-  SELECT * FROM (SELECT count(*) AS n_trial_rows, count(DISTINCT event_uid) AS n_events, count(DISTINCT run_base) AS n_runs_seen FROM trials),
-    (SELECT count(*) AS n_map_rows, count(DISTINCT (subject, stim_site)) AS n_sites, count(*) FILTER (WHERE n_trials < 5) AS n_low_trial_rows,
+# the frozen list holds every trial's event; events of a weak response, and one subject's site, have none that is valid
+_VALID = "early_rms_z > 2 AND NOT (subject = 'sub-03' AND site_no % 10 = 3)"
+cte("valid_trials", "trials", f"SELECT * FROM trials WHERE {_VALID}")
+cte("valid_map", "valid_trials", """
+  SELECT subject, stim_site, recording_channel, count(DISTINCT event_uid) AS n_trials, median(early_rms_z) AS early_rms_z, median(late_rms_z) AS late_rms_z
+  FROM valid_trials GROUP BY ALL""")
+_KEYS4 = "subject, stim_site, run_base, event_uid"
+cte("event_flags", "trials valid_trials", f"""
+  SELECT {_KEYS4}, max(e) AS e, max(o) AS o FROM (SELECT {_KEYS4}, 1 AS e, 0 AS o FROM trials UNION ALL SELECT {_KEYS4}, 0, 1 FROM valid_trials) GROUP BY ALL""")
+
+
+def valid_trials(spark, sf):
+    return trial_table(spark, sf).where(_VALID)
+
+
+@query("extraction_audit", "level subject stim_site run_base n_expected:i n_observed:i n_missing:i n_unexpected:i", "event_flags", """
+  SELECT CASE GROUPING_ID(subject, stim_site, run_base) WHEN 7 THEN 'all' WHEN 3 THEN 'subject' WHEN 1 THEN 'site' ELSE 'run' END AS level,
+    subject, stim_site, run_base, sum(e) AS n_expected, sum(e * o) AS n_observed, sum(e * (1 - o)) AS n_missing, sum((1 - e) * o) AS n_unexpected
+  FROM event_flags GROUP BY GROUPING SETS ((), (subject), (subject, stim_site), (run_base))""")
+def _(spark, sf):
+    return response.extraction_audit(trial_table(spark, sf), valid_trials(spark, sf))
+
+
+@query("extraction_qc", "status n_subjects_expected:i n_subjects:i n_runs_expected:i n_runs_seen:i n_events_expected:i n_events:i n_events_missing:i n_events_unexpected:i "
+       "n_trial_rows:i n_map_rows:i n_sites_expected:i n_sites:i n_sites_missing:i min_subject_sites:i median_subject_sites:d max_subject_sites:i n_low_trial_rows:i min_trials:i max_trials:i "
+       "median_trials:d early_p01:d9 early_p50:d9 early_p99:d9 late_min:d9 late_p01:d9 late_p50:d9 late_p99:d9 late_max:d9",
+       "trials valid_trials valid_map event_flags", """
+  SELECT *, CASE WHEN n_sites_missing = 0 THEN 'EXTRACTION_COMPLETE' ELSE 'EXTRACTION_COMPLETE_WITH_MECHANICAL_MISSINGNESS' END AS status FROM
+    (SELECT count(*) AS n_trial_rows, count(DISTINCT run_base) AS n_runs_seen FROM valid_trials),
+    (SELECT count(DISTINCT subject) AS n_subjects_expected, count(DISTINCT run_base) AS n_runs_expected, sum(e) AS n_events_expected, sum(e * o) AS n_events,
+      sum(e * (1 - o)) AS n_events_missing, sum((1 - e) * o) AS n_events_unexpected FROM event_flags),
+    (SELECT count(*) AS n_map_rows, count(DISTINCT subject) AS n_subjects, count(DISTINCT (subject, stim_site)) AS n_sites, count(*) FILTER (WHERE n_trials < 5) AS n_low_trial_rows,
       min(n_trials) AS min_trials, max(n_trials) AS max_trials, median(n_trials) AS median_trials, min(late_rms_z) AS late_min,
+      quantile_cont(early_rms_z, 0.01) AS early_p01, median(early_rms_z) AS early_p50, quantile_cont(early_rms_z, 0.99) AS early_p99,
       quantile_cont(late_rms_z, 0.01) AS late_p01, median(late_rms_z) AS late_p50, quantile_cont(late_rms_z, 0.99) AS late_p99,
-      max(late_rms_z) AS late_max FROM map)""")
-def _(spark, sf):
-    return response.extraction_qc(trial_table(spark, sf), maps(spark, sf))
+      max(late_rms_z) AS late_max FROM valid_map),
+    (SELECT min(n) AS min_subject_sites, median(n) AS median_subject_sites, max(n) AS max_subject_sites FROM (SELECT count(DISTINCT stim_site) AS n FROM valid_map GROUP BY subject)),
+    (SELECT count(*) AS n_sites_expected, count(*) FILTER (WHERE (subject, stim_site) NOT IN (SELECT (subject, stim_site) FROM valid_map)) AS n_sites_missing
+      FROM (SELECT DISTINCT subject, stim_site FROM trials))""")
+def _(spark, sf):
+    """The whole frozen list against its valid trials and their map."""
+    t = valid_trials(spark, sf)
+    return response.extraction_qc(trial_table(spark, sf), t, response.trials_to_map(t, iqrs={}))
 
 
 @query("missing_keys", "subject stim_site recording_channel", "trials", """

@@ -11,7 +11,10 @@ after that is a projection.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkmap.functions.hashing import hash_text
@@ -61,23 +64,52 @@ def population_prior(z: DataFrame) -> DataFrame:
     return out.select(*z.columns, *pops)
 
 
-def linear_prior(train: DataFrame, df: DataFrame, features: Sequence[str], targets: Sequence[str], ridge: float = 0.0) -> DataFrame:
-    """The other choice of prior: one linear model per target, fitted on a training cohort.
+def linear_prior(df: DataFrame, features: Sequence[str], targets: Sequence[str], ridge: float = 0.0, subject: str = "subject") -> DataFrame:
+    """The other choice of prior: a linear model per target, for each subject fitted on all other subjects.
 
-    Adds `pop_{target}` to `df`.  The fit needs only the sums of products, so it
-    is one aggregate over the training rows per target.
+    Adds `pop_{target}` to `df`.  The normal equations need sums of products
+    only: one array of them a subject, and a subject's own are taken off the
+    total, so folds are never written out.  Features are standardised over all
+    rows, which keeps the equations well conditioned and changes no prediction
+    unless `ridge` (on the standardised features) is set.  Rows with a missing
+    feature or target take no part in the fit; a missing feature gives no
+    prediction.  The solution of least norm is taken where features repeat.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    pack = VectorAssembler(inputCols=list(features), outputCol="_x")
-    fit_on, out = pack.transform(train), pack.transform(df)
+    p = len(features) + 1
+    ends = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    flat = lambda i: F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")).otherwise(1.0)
+    x = [F.lit(1.0), *[(F.col(c) - F.col(f"m_{i}")) / flat(i) for i, c in enumerate(features)]]
+    rows = df.join(F.broadcast(ends), F.lit(True)).withColumn("_x", F.array(*x)).drop(*ends.columns)  # one row
+    full = F.forall("_x", lambda v: v.isNotNull())
     for t in targets:
-        model = LinearRegression(
-            featuresCol="_x", labelCol=t, predictionCol=f"pop_{t}", regParam=ridge, solver="normal"
-        ).fit(fit_on)
-        out = model.transform(out)
-    return out.drop("_x")
+        full = full & F.col(t).isNotNull()
+    at = lambda i: F.col("_x")[i]
+    products = [at(i) * at(j) for i in range(p) for j in range(i + 1)] + [at(i) * F.col(t) for t in targets for i in range(p)]
+    own = rows.where(full).groupBy(subject).agg(F.array(*[F.sum(c) for c in products]).alias("_own"))
+    total = own.agg(F.array(*[F.sum(F.col("_own")[k]) for k in range(len(products))]).alias("_all"))
+    folds = (
+        df.select(subject).distinct().join(own, subject, "left").join(F.broadcast(total), F.lit(True))  # one row
+        .withColumn("_sums", F.when(F.col("_own").isNull(), F.col("_all")).otherwise(F.zip_with("_all", "_own", lambda a, b: a - b)))
+    )
+
+    def solve(sums: pd.Series) -> pd.Series:
+        out = []
+        for v in sums:
+            gram = np.zeros((p, p))
+            low = np.tril_indices(p)
+            gram[low] = v[: len(low[0])]
+            gram = gram + gram.T - np.diag(np.diag(gram))
+            gram[np.arange(1, p), np.arange(1, p)] += ridge
+            sides = np.asarray(v[len(low[0]) :]).reshape(len(targets), p).T
+            out.append(np.linalg.lstsq(gram, sides, rcond=1e-13)[0].T.ravel())
+        return pd.Series(out)
+
+    weights = folds.where("_sums IS NOT NULL").select(subject, F.pandas_udf(solve, "array<double>")("_sums").alias("_b"))
+    fitted = rows.join(weights, subject, "left")
+    for k, t in enumerate(targets):
+        terms = [at(i) * F.col("_b")[k * p + i] for i in range(p)]
+        fitted = fitted.withColumn(f"pop_{t}", reduce(lambda a, b: a + b, terms))
+    return fitted.drop("_x", "_b")
 
 
 def context_rows(prior: DataFrame, context: DataFrame) -> DataFrame:

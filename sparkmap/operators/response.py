@@ -122,34 +122,88 @@ def events_allowlist(events: DataFrame, allow: DataFrame, key: Sequence[str]) ->
     return events.join(allow.select(*key), list(key), "left_semi")
 
 
-def extraction_qc(trials: DataFrame, maps: DataFrame, low_trials: int = 5) -> DataFrame:
-    """One row: sizes, low-trial cells and the spread of trials and responses."""
-    sizes = trials.agg(
-        F.count(F.lit(1)).alias("n_trial_rows"),
-        F.count_distinct("event_uid").alias("n_events"),
-        F.count_distinct("run_base").alias("n_runs_seen"),
+EVENT_KEYS = ("subject", "stim_site", "run_base", "event_uid")
+
+
+def extraction_audit(expected: DataFrame, trials: DataFrame) -> DataFrame:
+    """Events of the frozen list against those with a response: in all, per subject, per site and per run.
+
+    Both sides have subject, stim_site, run_base and event_uid.  One pass over
+    both gives each event's two flags, one over the events all levels:
+    `level`, the level's keys (else NULL), n_expected, n_observed (of the list),
+    n_missing and n_unexpected events.
+    """
+    flag = lambda df, e, o: df.select(*EVENT_KEYS, F.lit(e).alias("e"), F.lit(o).alias("o"))
+    events = flag(expected, 1, 0).unionByName(flag(trials, 0, 1)).groupBy(*EVENT_KEYS).agg(F.max("e").alias("e"), F.max("o").alias("o"))
+    keys = [F.col(c) for c in EVENT_KEYS[:3]]
+    subject, site, run = keys
+    counted = events.groupingSets([[], [subject], [subject, site], [run]], *keys).agg(
+        F.grouping_id().alias("_g"),
+        F.sum("e").alias("n_expected"),
+        F.sum(F.col("e") * F.col("o")).alias("n_observed"),
+        F.sum(F.col("e") * (1 - F.col("o"))).alias("n_missing"),
+        F.sum((1 - F.col("e")) * F.col("o")).alias("n_unexpected"),
+    )
+    level = F.when(F.col("_g") == 7, "all").when(F.col("_g") == 3, "subject").when(F.col("_g") == 1, "site").otherwise("run")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return counted.select(level.alias("level"), *EVENT_KEYS[:3], *[zero(c) for c in ("n_expected", "n_observed", "n_missing", "n_unexpected")])
+
+
+def extraction_qc(expected: DataFrame, trials: DataFrame, maps: DataFrame, low_trials: int = 5) -> DataFrame:
+    """One row: the frozen list against what came out, low-trial cells, and the spread of trials and responses.
+
+    A site is missing if it has expected events and no map entry.
+    """
+    audit = extraction_audit(expected, trials)
+    count = lambda where: F.count_if(F.expr(where))
+    whole = lambda c: F.max(F.when(F.col("level") == "all", F.col(c)))
+    events = audit.agg(
+        count("level = 'subject' AND n_expected > 0").alias("n_subjects_expected"),
+        count("level = 'run' AND n_expected > 0").alias("n_runs_expected"),
+        count("level = 'run' AND n_observed + n_unexpected > 0").alias("n_runs_seen"),
+        whole("n_expected").alias("n_events_expected"),
+        whole("n_observed").alias("n_events"),
+        whole("n_missing").alias("n_events_missing"),
+        whole("n_unexpected").alias("n_events_unexpected"),
+    )
+    sizes = trials.agg(F.count(F.lit(1)).alias("n_trial_rows"))
+    listed = expected.select("subject", "stim_site").distinct().withColumn("_e", F.lit(1))
+    per_site = maps.groupBy("subject", "stim_site").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("n_trials") < low_trials).alias("_low"),
+        F.min("n_trials").alias("_min"), F.max("n_trials").alias("_max"),
+    ).join(listed, ["subject", "stim_site"], "full")
+    mapped = F.col("_rows").isNotNull()
+    per_subject = per_site.groupBy("subject").agg(
+        F.count_if(mapped).alias("n_sites"), F.count_if(F.col("_e").isNotNull()).alias("_listed"),
+        F.count_if(mapped & F.col("_e").isNotNull()).alias("_both"), *[F.sum(c).alias(c) for c in ("_rows", "_low")],
+        F.min("_min").alias("_min"), F.max("_max").alias("_max"),
     )
-    cells = maps.agg(
-        F.count(F.lit(1)).alias("n_map_rows"),
-        F.count_distinct("subject", "stim_site").alias("n_sites"),
-        F.count_if(F.col("n_trials") < low_trials).alias("n_low_trial_rows"),
-        F.min("n_trials").alias("min_trials"),
-        F.max("n_trials").alias("max_trials"),
-        F.min("late_rms_z").alias("late_min"),
-        F.max("late_rms_z").alias("late_max"),
+    seen = F.when(F.col("n_sites") > 0, F.col("n_sites"))
+    cells = per_subject.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_map_rows"),
+        F.count(seen).alias("n_subjects"),
+        F.sum("_listed").alias("n_sites_expected"),
+        F.sum("n_sites").alias("n_sites"),
+        (F.sum("_listed") - F.sum("_both")).alias("n_sites_missing"),
+        F.min(seen).alias("min_subject_sites"),
+        F.max(seen).alias("max_subject_sites"),
+        F.coalesce(F.sum("_low"), F.lit(0)).alias("n_low_trial_rows"),
+        F.min("_min").alias("min_trials"),
+        F.max("_max").alias("max_trials"),
     )
+    middle = quantiles(per_subject.select(seen.cast("double").alias("s")), [], {"median_subject_sites": median("s")})
     spread = quantiles(
-        maps.select(F.col("n_trials").cast("double").alias("n_trials"), "late_rms_z"),
+        maps.select(F.col("n_trials").cast("double").alias("n_trials"), "early_rms_z", "late_rms_z"),
         [],
-        {
-            "median_trials": median("n_trials"),
-            "late_p01": Quantile("late_rms_z", 0.01),
-            "late_p50": median("late_rms_z"),
-            "late_p99": Quantile("late_rms_z", 0.99),
-        },
+        {"median_trials": median("n_trials")}
+        | {f"{t}_{n}": Quantile(f"{t}_rms_z", q) for t in ("early", "late") for n, q in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))},
     )
-    # three tables of exactly one row
-    return sizes.join(F.broadcast(cells), F.lit(True)).join(F.broadcast(spread), F.lit(True))
+    ends = maps.agg(F.min("late_rms_z").alias("late_min"), F.max("late_rms_z").alias("late_max"))
+    out = events
+    for one in (sizes, cells, middle, spread, ends):  # tables of exactly one row
+        out = out.join(F.broadcast(one), F.lit(True))
+    complete = F.when(F.col("n_sites_missing") == 0, "EXTRACTION_COMPLETE").otherwise("EXTRACTION_COMPLETE_WITH_MECHANICAL_MISSINGNESS")
+    return out.withColumn("status", complete)
 
 
 def missing_keys(expected: DataFrame, observed: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -232,6 +232,31 @@ def test_relation_is_zero_with_one_context_site(spark):
     assert pairs.count() == 5 * len(nested) and pairs.where("pred_late < 0 OR pred_late IS NULL").count() == 0
 
 
+def test_linear_prior_leaves_the_subject_out(spark):
+    """Against least squares on the other subjects; a subject's own rows do not move its prior."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 16)) * np.geomspace(1, 300, 16) + 50
+    y = x @ rng.normal(size=16) + rng.normal(size=90)
+    subject = [f"s{i % 5}" for i in range(90)]
+    names = [f"f{i}" for i in range(16)]
+
+    def prior(y, x=x):
+        rows = [(i, s, float(v), *map(float, r)) for i, (s, v, r) in enumerate(zip(subject, y, x))]
+        df = spark.createDataFrame(rows, "i int, subject string, early double, " + ", ".join(f"{n} double" for n in names))
+        return hierarchy.linear_prior(df, names, ["early"]).orderBy("i").toPandas()["pop_early"].to_numpy()
+
+    got = prior(y)
+    design = np.column_stack([np.ones(90), x])
+    for s in set(subject):
+        mine = np.array(subject) == s
+        beta = np.linalg.lstsq(design[~mine], y[~mine], rcond=None)[0]
+        assert got[mine] == pytest.approx(design[mine] @ beta, rel=1e-7)
+    moved = np.where(np.array(subject) == "s2", y * 3 + 7, y)
+    again = prior(moved)
+    mine = np.array(subject) == "s2"
+    assert again[mine] == pytest.approx(got[mine], rel=1e-9) and not np.allclose(again[~mine], got[~mine])
+
+
 # ---- responses, bridge, eligibility, quality ------------------------------------------------------------
 
 
