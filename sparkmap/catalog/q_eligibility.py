@@ -126,11 +126,15 @@ def _(spark, sf):
     return eligibility.coordinate_coverage(_electrodes(spark, sf), _channels(spark, sf), ["subject", "name"], "subject")
 
 
-@query("run_inventory", "run_base n_rows:i n_stim_rows:i n_sites:i", "trials", """
+@query("run_inventory", "run_base n_rows:i n_stim_rows:i n_sites:i has_site_column", "trials", """
   SELECT run_base, count(*) AS n_rows, count(*) FILTER (WHERE protocol < '3') AS n_stim_rows,
-    count(DISTINCT stim_site) FILTER (WHERE protocol < '3') AS n_sites FROM trials GROUP BY run_base""")
+    CASE WHEN run_base < '1997' THEN count(DISTINCT stim_site) FILTER (WHERE protocol < '3') ELSE 0 END AS n_sites, run_base < '1997' AS has_site_column
+  FROM trials GROUP BY run_base""")
 def _(spark, sf):
-    return eligibility.run_inventory(trials(spark, sf), "run_base", F.col("protocol") < "3", "stim_site")
+    """Runs from 1997 on come from files without the site column."""
+    t = trials(spark, sf)
+    files = t.where("run_base < '1997'").unionByName(t.where("run_base >= '1997'").drop("stim_site"), allowMissingColumns=True)
+    return eligibility.run_inventory(files, "run_base", F.col("protocol") < "3", "stim_site")
 
 
 cte("numeric_profile", "trials", """

@@ -449,9 +449,9 @@ cte("stress_rows", "qrows stress_t", f"""
 
 def _spearman_sql(source: str, keys: str, y: str, p: str) -> str:
     rank = lambda v: f"rank() OVER (PARTITION BY {keys} ORDER BY {v}) + (count(*) OVER (PARTITION BY {keys}, {v}) - 1) / 2.0"
-    return f"""SELECT {keys}, CASE WHEN count(*) >= 3 AND stddev_pop(ry) >= 1e-12 AND stddev_pop(rp) >= 1e-12
+    return f"""SELECT {keys}, CASE WHEN count(*) >= 3 AND stddev_pop({y}) >= 1e-12 AND stddev_pop({p}) >= 1e-12
     THEN covar_pop(ry, rp) / (stddev_pop(ry) * stddev_pop(rp)) END AS spearman
-  FROM (SELECT {keys}, {rank(y)} AS ry, {rank(p)} AS rp FROM {source}) GROUP BY ALL"""
+  FROM (SELECT {keys}, {y}, {p}, {rank(y)} AS ry, {rank(p)} AS rp FROM {source}) GROUP BY {keys}"""
 
 
 _KEYTXT = "subject, repeat"

@@ -463,7 +463,7 @@ def _r_sql(y: str, p: str) -> str:
 
 
 cte("repeats", "ranked_pairs", f"""
-  SELECT {RKEYS}, count(*) AS n_pairs, round({_r_sql('y', 'p')}, 12) AS pearson, round({_r_sql('ry', 'rp')}, 12) AS spearman,
+  SELECT {RKEYS}, count(*) AS n_pairs, round({_r_sql('y', 'p')}, 12) AS pearson, CASE WHEN stddev_pop(y) >= 1e-12 AND stddev_pop(p) >= 1e-12 THEN round({_r_sql('ry', 'rp')}, 12) END AS spearman,
     round(avg(abs(y - p)), 12) AS mae, count(*) FILTER (WHERE ty <= k AND tp <= k) / max(k) AS top10_recall
   FROM ranked_pairs GROUP BY ALL""")
 cte("patients", "repeats", """
@@ -521,9 +521,21 @@ def _(spark, sf):
     )
 
 
-@query("control_hinge", "context_k:i target control_hinge:d", "patients", """
-  SELECT context_k, target, avg(greatest(r - q, 0)) AS control_hinge FROM (
-    SELECT context_k, target, subject, max(mae) FILTER (WHERE condition = 'relation') AS r, max(mae) FILTER (WHERE condition = 'relation_perm') AS q
-    FROM patients GROUP BY ALL) GROUP BY ALL""")
+_MARGIN = 0.02
+
+
+def _huber_sql(mu: str) -> str:
+    return f"avg(CASE WHEN abs(y - {mu}) <= 1 THEN 0.5 * (y - {mu}) ** 2 ELSE abs(y - {mu}) - 0.5 END)"
+
+
+@query("control_hinge", "subject context_k:i repeat:i n:i huber:d huber_control:d control_hinge:d", "nested", f"""
+  SELECT *, greatest({_MARGIN} + huber - huber_control, 0) AS control_hinge FROM (
+    SELECT {PLAN}, count(*) AS n, {_huber_sql("relation_late")} AS huber, {_huber_sql("relation_perm_late")} AS huber_control
+    FROM (SELECT *, (ln(1 + true_late) - mean_late) / sd_late AS y FROM nested) GROUP BY {PLAN})""")
 def _(spark, sf):
-    return K.control_hinge(patients(spark, sf))
+    n = nested(spark, sf).select(
+        *P.PLAN_KEYS, F.concat_ws("/", "query_site", "recording_channel").alias("row_id"),
+        ((F.log1p("true_late") - F.col("mean_late")) / F.col("sd_late")).alias("y"),
+        F.col("relation_late").alias("mu"), F.col("relation_perm_late").alias("control"),
+    )
+    return K.control_hinge(n, P.PLAN_KEYS, _MARGIN)

@@ -269,7 +269,7 @@ cte("target_vocab", "", """
 
 
 def contact_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject, contact, roi_text, frozen_token of the trials' contacts; some contacts are not listed."""
+    """subject, contact, roi_text, frozen_token of the trials' contacts; some have neither text nor token."""
     t = trial_table(spark, sf_dir)
     contacts = (
         t.select("subject", F.col("recording_channel").alias("contact"), F.col("channel_no").alias("no"))
@@ -277,19 +277,20 @@ def contact_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
     s = F.substring("subject", 5, 2).cast("int")
-    return contacts.where((s + F.col("no")) % 7 != 0).select(
+    listed = (s + F.col("no")) % 7 != 0
+    roi = F.concat(F.lit("roi"), (F.col("no") % 4).cast("string"))
+    return contacts.select(
         "subject", "contact",
-        F.when(F.col("no") % 5 == 0, "n/a").otherwise(F.concat(F.lit("roi"), (F.col("no") % 4).cast("string"))).alias("roi_text"),
-        F.when(F.col("no") % 3 == 0, "UNK").otherwise(F.concat(F.lit("roi"), (F.col("no") % 4).cast("string"))).alias("frozen_token"),
+        F.when(listed, F.when(F.col("no") % 5 == 0, "n/a").otherwise(roi)).alias("roi_text"),
+        F.when(listed, F.when(F.col("no") % 3 == 0, "UNK").otherwise(roi)).alias("frozen_token"),
     )
 
 
 cte("contact_bridge", "trials", """
-  SELECT subject, contact, CASE WHEN no % 5 = 0 THEN 'n/a' ELSE 'roi' || (no % 4) END AS roi_text,
-    CASE WHEN no % 3 = 0 THEN 'UNK' ELSE 'roi' || (no % 4) END AS frozen_token
+  SELECT subject, contact, CASE WHEN (CAST(substr(subject, 5, 2) AS INT) + no) % 7 = 0 THEN NULL WHEN no % 5 = 0 THEN 'n/a' ELSE 'roi' || (no % 4) END AS roi_text,
+    CASE WHEN (CAST(substr(subject, 5, 2) AS INT) + no) % 7 = 0 THEN NULL WHEN no % 3 = 0 THEN 'UNK' ELSE 'roi' || (no % 4) END AS frozen_token
   FROM (SELECT DISTINCT subject, recording_channel AS contact, channel_no AS no FROM trials
-        UNION SELECT DISTINCT subject, 'B' || site_no, site_no FROM trials)
-  WHERE (CAST(substr(subject, 5, 2) AS INT) + no) % 7 <> 0""")
+        UNION SELECT DISTINCT subject, 'B' || site_no, site_no FROM trials)""")
 
 
 def pair_label(site):

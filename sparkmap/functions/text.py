@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Markers that stand for a missing text. Which set applies
@@ -98,9 +99,36 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _BASE = _accent_table()
 
 
+def _several() -> str:
+    """A character class of all characters that fold to several, by rule from the Unicode data."""
+    codes = [
+        code for code in range(0xA0, 0x30000)
+        if len("".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))) > 1
+    ]
+    spans, start = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], None]):
+        if b != a + 1:
+            spans.append(rf"\x{{{start:X}}}-\x{{{a:X}}}")
+            start = b
+    return "[" + "".join(spans) + "]"
+
+
+_SEVERAL = _several()
+
+
+def _unfold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t and "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+
+
 def ascii_fold(c: Column) -> Column:
-    """Strip accents and fold compatibility forms of one character: both by table, loose marks by class."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _BASE), r"\p{Mn}", "")
+    """Strip accents and fold compatibility forms.
+
+    Forms of one character go by table and loose marks by class; only texts that
+    hold a form of several characters (`ﬁ`, `½`, Hangul) are normalised in Arrow batches.
+    """
+    held = c.rlike(_SEVERAL)
+    unfolded = F.when(held, F.pandas_udf(_unfold, "string")(F.when(held, c))).otherwise(c)
+    return F.regexp_replace(F.translate(unfolded, _ACCENTED, _BASE), r"\p{Mn}", "")
 
 
 def _matches_any(c: Column, patterns: Iterable[str]) -> Column:
@@ -115,7 +143,7 @@ def hemi_from_label(c: Column) -> Column:
 
 def hemi_from_meta(c: Column) -> Column:
     """L or R from a metadata field."""
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     return F.when(low.startswith("l") | low.contains("left"), "L").when(
         low.startswith("r") | low.contains("right"), "R"
     )
@@ -123,7 +151,7 @@ def hemi_from_meta(c: Column) -> Column:
 
 def canonical_stem(c: Column, missing: Iterable[str] = MISSING_LABEL) -> Column:
     """Label without hemisphere and separators; NULL when nothing is left."""
-    stem = F.trim(F.lower(ascii_fold(c)))
+    stem = strip(F.lower(ascii_fold(c)))
     for noise in STEM_NOISE:
         stem = F.regexp_replace(stem, noise, "")
     return F.when(valid_text(stem, missing), stem)
@@ -147,7 +175,7 @@ def protocol_key(current: Column, frequency: Column, pulse_width: Column, kind:
         number(current).alias("current"),
         number(frequency).alias("frequency"),
         number(pulse_width).alias("pulse_width"),
-        F.lower(F.trim(kind)).alias("kind"),
+        F.lower(strip(kind)).alias("kind"),
     )
 
 

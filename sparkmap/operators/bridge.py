@@ -214,9 +214,11 @@ def parse_pair(labels: DataFrame, names: DataFrame, group: Sequence[str] = ()) -
     `labels`: group, label. `names`: group, name. Returns group, label,
     contact_a, contact_b (NULL when unresolved).
 
-    The third stage is an equi join too: a name that stands between delimiters
-    begins at a delimiter, so the label is cut at every position where a name
-    may start and end, and the pieces are looked up.
+    The third stage is an equi join too.  Labels and names are cut into tokens
+    (runs of letters and digits, and single other characters); an index holds,
+    for each first token of a name, how many tokens such names have.  Only
+    stretches of a label whose first token begins a name, of these lengths, are
+    cut and looked up, so their number grows with the length of the label.
     """
     group = list(group)
     todo = labels.select(*group, "label").distinct().withColumn("_raw", norm_name(F.col("label")))
@@ -240,34 +242,31 @@ def parse_pair(labels: DataFrame, names: DataFrame, group: Sequence[str] = ()) -
     second = two(rest.join(folded, [*group, "_low"]), F.col("_i"))
 
     still = todo.join(first, [*group, "label"], "left_anti").join(second, [*group, "label"], "left_anti")
-    low = F.lower("_raw")
-    # runs of letters and digits with their end positions; a name spans one or more whole runs
-    runs = still.select(*group, "label", low.alias("_low_raw"), F.explode(_run_pairs(low)).alias("_span"))
-    pieces = runs.select(
-        *group, "label", F.substring("_low_raw", F.col("_span.start"), F.col("_span.length")).alias("_low")
-    ).distinct()
-    lowered = known.withColumn("_low", F.lower("name"))
+    cut = still.select(*group, "label", _tokens(F.lower("_raw")).alias("_t"))
+    lowered = known.withColumn("_low", F.lower("name")).withColumn("_t", _tokens(F.col("_low")))
+    index = lowered.where(F.size("_t") > 0).groupBy(*group, F.col("_t")[0].alias("_head")).agg(F.collect_set(F.size("_t")).alias("_sizes"))
+    heads = cut.select(*group, "label", F.explode(F.array_distinct("_t")).alias("_head")).join(index, [*group, "_head"])
+    sizes = heads.groupBy(*group, "label").agg(F.map_from_entries(F.collect_list(F.struct("_head", "_sizes"))).alias("_sizes"))
+    pieces = cut.join(sizes, [*group, "label"]).select(*group, "label", F.explode(_stretches(F.col("_t"), F.col("_sizes"))).alias("_low"))
+    lowered = lowered.drop("_t")
     third = two(pieces.join(lowered, [*group, "_low"]), F.struct(-F.length("name"), F.col("name")))
 
     found = first.unionByName(second).unionByName(third)
     return todo.drop("_raw").join(found, [*group, "label"], "left")
 
 
-def _run_pairs(low: Column) -> Column:
-    """Start and length of every stretch of a short label that is delimited on both sides."""
-    n = F.length(low)
-    inside = lambda i: F.substring(low, i, F.lit(1)).rlike("[a-z0-9]")
-    free_left = lambda i: (i == 1) | ~inside(i - 1)
-    free_right = lambda i: (i == n) | ~inside(i + 1)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(at, free_left)
-    ends = F.filter(at, free_right)
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.filter(ends, lambda e: e >= s),
-                lambda e: F.struct(s.alias("start"), (e - s + 1).alias("length")),
-            ),
-        )
-    )
+def _tokens(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit("([a-z0-9]+|[^a-z0-9])"), F.lit(1))
+
+
+def _stretches(tokens: Column, sizes: Column) -> Column:
+    """The texts of a label's stretches that a name may be: free on both sides, with a first token and a length of the index."""
+    word = lambda i: F.coalesce(F.get(tokens, i).rlike("^[a-z0-9]"), F.lit(False))
+    none = F.array().cast("array<int>")
+
+    def from_here(token: Column, i: Column) -> Column:
+        wanted = F.when(~word(i - 1), F.coalesce(F.try_element_at(sizes, token), none)).otherwise(none)
+        whole = F.filter(wanted, lambda n: (i + n <= F.size(tokens)) & ~word(i + n))
+        return F.transform(whole, lambda n: F.array_join(F.slice(tokens, i + 1, n), ""))
+
+    return F.array_distinct(F.flatten(F.transform(tokens, from_here)))

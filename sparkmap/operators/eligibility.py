@@ -57,8 +57,10 @@ def channel_status() -> Column:
 
 
 def first_channel(channels: DataFrame, keys: Sequence[str], order: str = "row_order") -> DataFrame:
-    """The first row of each channel name by the column `order`, where the table has it."""
-    return first_per_key(channels, list(keys), [order]) if order in channels.columns else channels.dropDuplicates(list(keys))
+    """The first row of each channel name by the column `order`, which the table must have: without it "first" means nothing."""
+    if order not in channels.columns:
+        raise ValueError(f"no column {order} to tell which row of a channel comes first")
+    return first_per_key(channels, list(keys), [order])
 
 
 def channel_inventory(
@@ -107,10 +109,17 @@ def coordinate_coverage(electrodes: DataFrame, channels: DataFrame, keys: Sequen
 
 
 def run_inventory(events: DataFrame, run: str, is_stim: Column, site: str) -> DataFrame:
+    """Rows, stimulation rows and their sites of each run, and whether its file has the site column.
+
+    Files of another header are united by name, so a run without the column has
+    it NULL throughout; a table without it has no sites at all.
+    """
+    value = F.col(site) if site in events.columns else F.lit(None).cast("string")
     return events.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.coalesce(is_stim, F.lit(False))).alias("n_stim_rows"),
-        F.count_distinct(F.when(is_stim, F.col(site))).alias("n_sites"),
+        F.count_distinct(F.when(is_stim, value)).alias("n_sites"),
+        F.bool_or(value.isNotNull()).alias("has_site_column"),
     )
 
 

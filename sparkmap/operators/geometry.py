@@ -10,19 +10,29 @@ from sparkmap.functions import space
 from sparkmap.functions.numeric import finite
 from sparkmap.operators.quality import one_per_key
 
-SALTS = 16
+TILE = 4096  # rows of a subject on one side of a tile
 PAIR_KEYS = ["subject", "stim_site", "recording_channel"]
 
 
-def salted_pairs(left: DataFrame, right: DataFrame, on: str, salts: int = SALTS) -> DataFrame:
-    """All left-right pairs of a key, where one key may dominate both sides.
+def salted_pairs(left: DataFrame, right: DataFrame, on: str, tile: int = TILE) -> DataFrame:
+    """All left-right pairs of a key, where one key may dominate either side or both.
 
-    The left side is spread over `salts` sub-keys by a hash of its row, the
-    right side is repeated once per sub-key; a hot key is then `salts` tasks.
+    The rows of a key are counted.  A key with more than `tile` rows on a side
+    becomes a grid: its rows are dealt over as many strips as it needs on that
+    side and repeated once for each strip of the other.  All other keys are
+    joined as they are.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return spread.join(repeated, [on, "_salt"]).drop("_salt")
+    strips = lambda df, out: df.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias(out))
+    grid = strips(left, "_nl").join(strips(right, "_nr"), on)
+    heavy = grid.where("_nl > 1 OR _nr > 1")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)).cast("long") - 1)
+    own = lambda df, n: F.coalesce(F.pmod(F.xxhash64(*df.columns), n), F.lit(0)).cast("long")
+
+    def dealt(df: DataFrame, mine: str, others: str, a: str, b: str) -> DataFrame:
+        # heavy keys are at most the rows of both sides over the tile
+        return df.join(heavy, on, "left").withColumn(a, own(df, F.col(mine))).withColumn(b, F.explode(every(F.col(others)))).drop("_nl", "_nr")
+
+    return dealt(left, "_nl", "_nr", "_l", "_r").join(dealt(right, "_nr", "_nl", "_r", "_l"), [on, "_l", "_r"]).drop("_l", "_r")
 
 
 def site_channel_pairs(

@@ -70,8 +70,10 @@ def long_metrics(patients: DataFrame, metrics: Sequence[str] = METRICS) -> DataF
 def paired_delta(patients: DataFrame, grid: DataFrame) -> DataFrame:
     """One row per cell and patient: both conditions' values and the gain of a over b.
 
-    Positive is always better.  A patient missing on one side shows up with a
-    NULL delta; `unpaired` lists them.  A second row of a patient stops the job.
+    Positive is always better.  Both conditions of a cell must have the same
+    patients: one without the other, or a second row of a patient, stops the
+    job.  A cell without any row of one condition has NULL deltas; so has a
+    patient whose value is missing, and `unpaired` lists both.
     """
     values = long_metrics(patients, [r for r in METRICS if r in patients.columns])
     both = values.join(F.broadcast(grid), ["context_k", "target", "metric"]).where(  # at most 112 planned cells
@@ -83,8 +85,14 @@ def paired_delta(patients: DataFrame, grid: DataFrame) -> DataFrame:
         twice = F.raise_error(F.concat(F.lit("more than one value for patient "), F.first("subject"))).cast("double")
         return F.when(F.count_if(here) > 1, twice).otherwise(F.max(F.when(here, F.col("value"))))
 
+    there = lambda c: F.count_if(F.col("condition") == F.col(c)) > 0
     paired = both.groupBy(*CELL, "subject", "lower_is_better").agg(
-        side("condition_a").alias("a"), side("condition_b").alias("b")
+        side("condition_a").alias("a"), side("condition_b").alias("b"), there("condition_a").alias("_a"), there("condition_b").alias("_b")
+    )
+    compared = both.groupBy(*CELL).agg((there("condition_a") & there("condition_b")).alias("_both"))
+    alone = F.raise_error(F.concat(F.lit("one condition without the other for patient "), F.col("subject"))).cast("boolean")
+    paired = paired.join(F.broadcast(compared), CELL).where(  # at most 112 planned cells
+        F.when(F.col("_both") & (F.col("_a") != F.col("_b")), alone).otherwise(F.lit(True))
     )
     gain = F.when(F.col("lower_is_better"), F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
     return paired.select(*CELL, "subject", "a", "b", gain.alias("delta"))

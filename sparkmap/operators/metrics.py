@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkmap.functions.numeric import all_finite, half_even
 from sparkmap.operators.ordering import cumulative, positions
+from sparkmap.operators.quality import one_per_key
 
 MIN_PAIRS = 3
 MIN_SD = 1e-12
 METRICS = ("pearson", "spearman", "mae", "top10_recall")
+REPEATS = 20  # fixed value: repeats of each plan
 REPEAT_KEYS = ["subject", "context_k", "repeat", "condition", "target"]
 
 
@@ -58,7 +60,16 @@ def spearman_safe(df: DataFrame, keys: Sequence[str], y: str, p: str, out: str =
     keys = list(keys)
     pairs = df.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p")).where(all_finite(F.col("_y"), F.col("_p")))
     rows = _with_truth_rank(pairs, cumulative(pairs, keys, "_y"), keys, "_y")
-    return _rank_correlation(cumulative(rows, keys, "_p", ["_d", "_q"], pairs), keys, out)
+    varies = pairs.groupBy(*keys).agg(_varies("_y", "_p").alias("_varies"))
+    rho = _rank_correlation(cumulative(rows, keys, "_p", ["_d", "_q"], pairs), keys, out)
+    if not keys:
+        return rho.join(F.broadcast(varies), F.lit(True)).select(F.when(F.col("_varies"), F.col(out)).alias(out))  # one row each
+    return rho.join(varies, keys).select(*keys, F.when(F.col("_varies"), F.col(out)).alias(out))
+
+
+def _varies(y: str, p: str) -> Column:
+    """Aggregate: whether neither side is constant, by its values."""
+    return (F.stddev_pop(y) >= MIN_SD) & (F.stddev_pop(p) >= MIN_SD)
 
 
 def _top_values(steps: DataFrame, keys: Sequence[str], v: str, frac: float) -> DataFrame:
@@ -141,7 +152,7 @@ def repeat_metrics(pairs: DataFrame, cut: Callable[[DataFrame], DataFrame] = lam
     """
     long = by_target(pairs)
     base = long.groupBy(*REPEAT_KEYS).agg(
-        F.count(F.lit(1)).alias("n_pairs"), pearson_safe("y", "p").alias("pearson"), mae("y", "p").alias("mae")
+        F.count(F.lit(1)).alias("n_pairs"), pearson_safe("y", "p").alias("pearson"), mae("y", "p").alias("mae"), _varies("y", "p").alias("_varies"),
     )
     plan = [k for k in REPEAT_KEYS if k != "condition"]
     cell = ["query_site", "recording_channel"]
@@ -157,18 +168,43 @@ def repeat_metrics(pairs: DataFrame, cut: Callable[[DataFrame], DataFrame] = lam
     return (
         base.join(rho, REPEAT_KEYS)
         .join(hits, REPEAT_KEYS, "left")
-        .withColumn("top10_recall", F.coalesce("_recall", F.lit(0.0)))
-        .drop("_recall")
+        .withColumns({"top10_recall": F.coalesce("_recall", F.lit(0.0)), "spearman": F.when(F.col("_varies"), F.col("spearman"))})
+        .drop("_recall", "_varies")
     )
 
 
-def patient_metrics(repeats: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Mean over repeats; repeats without a value are skipped but still counted."""
-    return repeats.groupBy("subject", "context_k", "condition", "target").agg(
+def patient_metrics(repeats: DataFrame, metrics: Sequence[str] = METRICS, expected: int | None = REPEATS) -> DataFrame:
+    """Mean over repeats; repeats without a value are skipped but still counted.
+
+    A cell with other than `expected` repeats, each once, stops the job (None: any number).
+    """
+    means = repeats.groupBy("subject", "context_k", "condition", "target").agg(
         F.count_distinct("repeat").alias("n_repeats"),
+        F.count(F.lit(1)).alias("_rows"),
         *[F.avg(m).alias(m) for m in metrics],
         F.avg("n_pairs").alias("mean_pairs_per_repeat"),
     )
+    if expected is not None:
+        stop = F.raise_error(F.concat(F.col("_rows").cast("string"), F.lit(f" rows where {expected} repeats are expected for patient "), F.col("subject")))
+        right = (F.col("n_repeats") == expected) & (F.col("_rows") == expected)
+        means = means.where(F.when(right, F.lit(True)).otherwise(stop.cast("boolean")))
+    return means.drop("_rows")
+
+
+def _single(value: str, what: str) -> Column:
+    """Aggregate: the one value of a cell; a second row stops the job."""
+    stop = F.raise_error(F.lit(f"more than one row for a {what}")).cast("double")
+    return F.when(F.count(F.lit(1)) > 1, stop).otherwise(F.max(value))
+
+
+def _by_condition(patients: DataFrame, metric: str, conditions: Sequence[str]) -> DataFrame:
+    """One column per condition, each from exactly one row."""
+    cells = patients.where(F.col("condition").isin(*conditions)).groupBy("subject", "context_k", "target", "condition").agg(
+        _single(metric, "patient and condition").alias("_v")
+    )
+    return cells.groupBy("subject", "context_k", "target").agg(
+        *[F.max(F.when(F.col("condition") == c, F.col("_v"))).alias(c) for c in conditions]
+    )
 
 
 def group_metrics(patients: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -191,7 +227,7 @@ def nested_gains(patients: DataFrame, metric: str, lower_is_better: bool = False
     """Gain of each level over the one below, per patient, k and target."""
     from sparkmap.operators.hierarchy import CONDITIONS
 
-    wide = patients.groupBy("subject", "context_k", "target").pivot("condition", list(CONDITIONS)).agg(F.max(metric))
+    wide = _by_condition(patients, metric, CONDITIONS)
     sign = -1.0 if lower_is_better else 1.0
     return wide.select(
         "subject", "context_k", "target",
@@ -199,22 +235,28 @@ def nested_gains(patients: DataFrame, metric: str, lower_is_better: bool = False
     )
 
 
+def _huber(y: str, mu: str) -> Column:
+    err = F.col(y) - F.col(mu)
+    return F.when(F.abs(err) <= 1.0, 0.5 * err * err).otherwise(F.abs(err) - 0.5)
+
+
 def score_terms(df: DataFrame, keys: Sequence[str], pairs_per_row: int = 4, seed: int = 7) -> DataFrame:
     """Grouped evaluation scores of predictions: Gaussian NLL, Huber, 1 - r, pairwise rank loss.
 
-    `df`: keys, row_id, y, mu, log_var.  The rank loss compares each row with
-    `pairs_per_row` partners drawn by hash; it never forms all pairs.
+    `df`: keys, row_id, y, mu, log_var; a second row of a row_id stops the job.
+    The rank loss compares each row with `pairs_per_row` partners drawn by hash;
+    it never forms all pairs.
     """
     from sparkmap.functions.hashing import hash_long
 
     keys = list(keys)
+    df = one_per_key(df.select(*keys, "row_id", "y", "mu", "log_var"), [*keys, "row_id"], "row")
     err = F.col("y") - F.col("mu")
     nll = 0.5 * (F.col("log_var") + err * err * F.exp(-F.col("log_var")))
-    huber = F.when(F.abs(err) <= 1.0, 0.5 * err * err).otherwise(F.abs(err) - 0.5)
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(nll).alias("gaussian_nll"),
-        F.avg(huber).alias("huber"),
+        F.avg(_huber("y", "mu")).alias("huber"),
         (F.lit(1.0) - pearson_safe("y", "mu")).alias("one_minus_r"),
     )
     ranked = positions(df.select(*keys, "row_id", "y", "mu"), keys, ["row_id", "y", "mu"])
@@ -228,11 +270,18 @@ def score_terms(df: DataFrame, keys: Sequence[str], pairs_per_row: int = 4, seed
     return base.join(loss, keys, "left")
 
 
-def control_hinge(patients: DataFrame, metric: str = "mae", margin: float = 0.0) -> DataFrame:
-    """How far the true correspondence fails to beat its permuted control."""
-    wide = patients.groupBy("subject", "context_k", "target").pivot("condition", ["relation", "relation_perm"]).agg(
-        F.max(metric)
-    )
-    return wide.groupBy("context_k", "target").agg(
-        F.avg(F.greatest(F.lit(margin) + F.col("relation") - F.col("relation_perm"), F.lit(0.0))).alias("control_hinge")
+def control_hinge(df: DataFrame, keys: Sequence[str], margin: float = 0.0) -> DataFrame:
+    """How far the true correspondence fails to beat its permuted control, per group.
+
+    `df`: keys, row_id, y, mu (true correspondence), control.  Both Huber scores
+    are taken over the same rows in one aggregate, those with all three values;
+    the hinge is what of margin + huber - huber_control is above 0.  A second row
+    of a row_id stops the job.
+    """
+    keys = list(keys)
+    rows = one_per_key(df.select(*keys, "row_id", "y", "mu", "control"), [*keys, "row_id"], "row")
+    paired = rows.where(all_finite(F.col("y"), F.col("mu"), F.col("control")))
+    scores = paired.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(_huber("y", "mu")).alias("huber"), F.avg(_huber("y", "control")).alias("huber_control")
     )
+    return scores.withColumn("control_hinge", F.greatest(F.lit(margin) + F.col("huber") - F.col("huber_control"), F.lit(0.0)))

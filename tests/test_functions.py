@@ -1,5 +1,6 @@
 """Hand-computed results of the scalar functions."""
 
+import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,16 @@ def test_tail_interval(spark, hits, draws, low, high):
 
 def test_fold_compatibility_forms(spark):
     assert tuple(one(spark, text.ascii_fold(F.lit("Ａ²ẛ"))))[0] == "A2s"
+
+
+def test_ascii_fold_of_several_characters(spark):
+    texts = ["ﬁn", "½", "한글", "ﷺ", "ǆé", "plain", "Ünïcôdé", "", None, "①⅓x", "\u0301a"]
+    want = [t if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    assert [r.f for r in df.select("i", text.ascii_fold(F.col("t")).alias("f")).orderBy("i").collect()] == want
+
+
+def test_white_space_around_metadata(spark):
+    df = spark.createDataFrame([("\tL ", "\u00a0RIGHT\n", " \tlh_Amygdala\n")], "a string, b string, c string")
+    got = df.select(text.hemi_from_meta(F.col("a")), text.hemi_from_meta(F.col("b")), text.canonical_stem(F.col("c"))).first()
+    assert tuple(got) == ("L", "R", "amygdala")

@@ -292,6 +292,19 @@ def test_parse_pair(spark, label, want):
     assert (got["contact_a"], got["contact_b"]) == want
 
 
+def test_parse_pair_in_long_labels(spark):
+    """Rows grow with the label, not with its square; names of several tokens, signs and letter cases."""
+    names = spark.createDataFrame([("A1",), ("A 1-x",), ("'b2",), ("B2",), ("Zz9",)], "name string")
+    filler = ".".join(f"k{i}" for i in range(5_000))
+    rows = [(f"{filler}(zZ9){filler}/b2",), (f"{filler}.a1-X.{filler}",), ("q('b2)(a1)",), ("",), (None,)]
+    got = {r.label: (r.contact_a, r.contact_b) for r in bridge.parse_pair(spark.createDataFrame(rows, "label string"), names).collect()}
+    assert got[rows[0][0]] == ("Zz9", "B2")
+    assert got[rows[1][0]] == ("A1-x", "A1")  # both are found in it
+    tokens = spark.createDataFrame([(rows[0][0].lower(),)], "t string").select(bridge._tokens(F.col("t")).alias("t"))
+    pieces = bridge._stretches(F.col("t"), F.create_map(F.lit("k1"), F.array(F.lit(1), F.lit(3)), F.lit("zz9"), F.array(F.lit(1))))
+    assert sorted(tokens.select(pieces.alias("p")).first()["p"]) == ["k1", "k1.k2", "zz9"]
+
+
 def test_check_deterministic(spark):
     df = spark.createDataFrame([(None, "L", "UNK"), (None, "L", "x"), ("a", "L", "x"), ("a", "L", "x")], "t string, h string, v string")
     bad = quality.check_deterministic(df, ["t", "h"], "v").collect()
@@ -315,6 +328,19 @@ def test_salted_pairs_are_complete(spark):
     assert got.count() == 1500 and got.distinct().count() == 1500
 
 
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_pairs_of_a_heavy_subject(spark, tile):
+    """One subject holds half of all rows on both sides; the others are joined as they are."""
+    subject = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 19))
+    left = spark.range(120).select(subject.alias("subject"), F.col("id").alias("a"))
+    right = spark.range(80).select(subject.alias("subject"), F.col("id").alias("b"))
+    got = geometry.salted_pairs(left, right, "subject", tile)
+    want = left.join(right, "subject")
+    assert got.columns == ["subject", "a", "b"] and got.count() == want.count() and got.exceptAll(want).count() == 0
+    none = geometry.salted_pairs(left.where("a < 0"), right, "subject", tile)
+    assert none.count() == 0
+
+
 # ---- comparison: every leaf mutated one at a time must show ----------------------------------------------
 
 BASE = {"k": 1, "x": 2.5, "n": 7, "t": "a", "b": True}
@@ -368,6 +394,76 @@ def test_gates(spark):
 # ---- gates ----------------------------------------------------------------------------------------------
 
 
+def test_unequal_patients_stop_the_job(spark):
+    schema = "subject string, context_k int, condition string, target string, pearson double, spearman double, mae double, top10_recall double"
+    rows = [(p, 10, c, "late", 0.1, 0.2, 0.3, 0.4) for p in "pq" for c in ("relation", "node")]
+    whole = L.paired_delta(spark.createDataFrame(rows, schema), L.contrast_grid(spark))
+    assert whole.where("delta = 0").count() == 8
+    with pytest.raises(Exception, match="one condition without the other for patient q"):
+        L.paired_delta(spark.createDataFrame(rows[:-1], schema), L.contrast_grid(spark)).collect()
+    missing = [*rows[:-1], ("q", 10, "node", "late", None, 0.2, 0.3, 0.4)]  # a row without a value is no missing patient
+    assert L.unpaired(L.paired_delta(spark.createDataFrame(missing, schema), L.contrast_grid(spark))).where("metric = 'pearson' AND subject = 'q' AND contrast = 'relation_vs_node'").count() == 1
+
+
+def test_repeats_are_counted(spark):
+    schema = "subject string, context_k int, repeat int, condition string, target string, n_pairs int, pearson double, spearman double, mae double, top10_recall double"
+    rows = [("p", 3, r, "node", "late", 10, 0.5, None, 0.1, 0.2) for r in range(20)]
+    means = metrics.patient_metrics(spark.createDataFrame(rows, schema)).first()
+    assert means.n_repeats == 20 and means.pearson == 0.5 and means.spearman is None
+    for bad in (rows[:-1], [*rows, rows[0]], [*rows[:-1], rows[0]]):
+        with pytest.raises(Exception, match="20 repeats are expected for patient p"):
+            metrics.patient_metrics(spark.createDataFrame(bad, schema)).collect()
+    assert metrics.patient_metrics(spark.createDataFrame(rows[:3], schema), expected=None).first().n_repeats == 3
+
+
+def test_gains_take_single_rows(spark):
+    rows = [("p", 3, "late", c, float(i)) for i, c in enumerate(hierarchy.CONDITIONS)]
+    schema = "subject string, context_k int, target string, condition string, mae double"
+    gains = metrics.nested_gains(spark.createDataFrame(rows, schema), "mae", lower_is_better=True).first()
+    assert (gains.global_gain, gains.correspondence_gain) == (-1.0, 1.0)
+    with pytest.raises(Exception, match="more than one row"):
+        metrics.nested_gains(spark.createDataFrame([*rows, rows[2]], schema), "mae").collect()
+
+
+def test_control_hinge(spark):
+    rng = np.random.default_rng(2)
+    y, mu, control = rng.normal(size=(3, 40)) * 2
+    rows = [(f"g{i % 2}", i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(y, mu, control))] + [("g0", 99, 1.0, None, 1.0)]
+    schema = "g string, row_id int, y double, mu double, control double"
+    huber = lambda e: np.where(np.abs(e) <= 1, e * e / 2, np.abs(e) - 0.5).mean()
+    got = {r.g: r for r in metrics.control_hinge(spark.createDataFrame(rows, schema), ["g"], 0.3).collect()}
+    for k in (0, 1):
+        a, b = huber((y - mu)[k::2]), huber((y - control)[k::2])
+        assert tuple(got[f"g{k}"])[1:] == pytest.approx((20, a, b, max(0.3 + a - b, 0)))
+    with pytest.raises(Exception, match="more than one row"):
+        metrics.control_hinge(spark.createDataFrame([*rows, rows[0]], schema), ["g"]).collect()
+    with pytest.raises(Exception, match="more than one row"):
+        metrics.score_terms(spark.createDataFrame([*rows, rows[0]], schema).withColumn("log_var", F.lit(0.0)), ["g"]).collect()
+
+
+def test_constant_by_value(spark):
+    """Values that differ by less than the least deviation are constant, though their ranks are not."""
+    rows = [("a", 1.0 + i * 1e-14, float(i)) for i in range(5)] + [("b", float(i), float(i * i)) for i in range(5)]
+    got = {r.g: r.spearman for r in metrics.spearman_safe(spark.createDataFrame(rows, "g string, y double, p double"), ["g"], "y", "p").collect()}
+    assert got["a"] is None and got["b"] == pytest.approx(1.0)
+
+
+def test_runs_without_the_site_column(spark):
+    a = spark.createDataFrame([("r1", "s", "A-B"), ("r1", "x", None)], "run string, kind string, site string")
+    b = spark.createDataFrame([("r2", "s")], "run string, kind string")
+    both = a.unionByName(b, allowMissingColumns=True)
+    got = {tuple(r) for r in eligibility.run_inventory(both, "run", F.col("kind") == "s", "site").collect()}
+    assert got == {("r1", 2, 1, 1, True), ("r2", 1, 1, 0, False)}
+    assert tuple(eligibility.run_inventory(b, "run", F.col("kind") == "s", "site").first()) == ("r2", 1, 1, 0, False)
+
+
+def test_first_channel_needs_an_order(spark):
+    df = spark.createDataFrame([("a", "bad", 2), ("a", "good", 1)], "name string, status string, row_order int")
+    assert eligibility.first_channel(df, ["name"]).first().status == "good"
+    with pytest.raises(ValueError, match="row_order"):
+        eligibility.first_channel(df.drop("row_order"), ["name"])
+
+
 def test_a_second_row_stops_the_job(spark):
     once = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 3.0), (None, 1, 4.0), (None, 1, 5.0)], "k string, j int, v double")
     assert quality.one_per_key(once, ["k", "j"], "row").where("k IS NOT NULL").count() == 2
