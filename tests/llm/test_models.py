@@ -66,6 +66,27 @@ def test_language(docs, corpus, no_docs):
     assert language.identify(no_docs, model).count() == 0
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in (None, "", "12 ½²①Ⅷ _", "½x", "漢", "é", "ª")] == [False, False, False, True, True, True, True]
+    model = language.Model(["de", "en"], np.zeros((language.BUCKETS, 2), np.float32), np.zeros(2))
+    assert model.predict("½ ² ① Ⅷ") == ("und", 0.0) and model.predict("½ a")[0] == "de"
+
+
+def test_language_held_out(docs, corpus):
+    """Documents of the held-out fold are told by a model that never saw them."""
+    model = language.fit(docs.where(language.may_learn()))
+    held = language.identify(docs.where(~language.may_learn()), model).where("lang IS NOT NULL AND length(text) > 40").toPandas()
+    assert len(held) > 20 and (held.lang == held.lang_pred).mean() > 0.97
+
+
+def test_one_id_on_a_third_of_all_rows(spark, docs):
+    many = docs.withColumn("doc_id", F.when(F.xxhash64("text", "doc_id") % 3 == 0, 7).otherwise(F.col("doc_id")))
+    copies = many.unionByName(spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("der the und and haus house").alias("text"), F.lit("de").alias("lang"), *[F.lit(None).cast("string").alias(c) for c in docs.columns[3:]]))
+    model = language.fit(copies, per_language=50)
+    got = language.identify(docs.where("length(text) > 200 AND lang IS NOT NULL"), model).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.9
+
+
 def test_grams_are_whole_text():
     assert len(language._grams("abcde")) == 5 + 4 + 3
     assert len(language._grams("ab")) == 3
