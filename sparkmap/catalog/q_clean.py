@@ -194,6 +194,11 @@ cte("pair_three", "pair_texts contact_points pair_one pair_two", """
   SELECT t.subject, t.label, p.contact_a, p.contact_b FROM (SELECT DISTINCT subject, label FROM pair_texts) t
   LEFT JOIN (FROM pair_one UNION ALL FROM pair_two UNION ALL FROM pair_three) p ON t.subject = p.subject AND t.label = p.label""")
 def _(spark, sf):
+    return parsed_pairs(spark, sf)
+
+
+def parsed_pairs(spark, sf):
+    """Labels in five spellings of neighbouring contacts, resolved to the subject's contacts."""
     c = contact_points(spark, sf).select("subject", "name", "vec_id")
     nxt = c.select("subject", F.col("name").alias("b"), (F.col("vec_id") - 1).alias("vec_id"))
     m, a, b = F.col("vec_id") % 5, F.col("name"), F.col("b")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sparkmap.catalog.q_clean import parsed_pairs
 from sparkmap.catalog.q_geometry import site_pairs
 from sparkmap.catalog.registry import cte, query
 from sparkmap.catalog.roles import contact_points, maps, pulse_samples, pulses, stage, table, trial_table, trials
@@ -148,18 +151,90 @@ def _(spark, sf):
     return eligibility.numeric_profile(trial_table(spark, sf), ["subject"], ["qty", "disc"])
 
 
-@query("interface_audit", "source n_files:i langs long_share:d exact_share:d", "", """
+@query("declared_values", "source n_files:i langs long_share:d exact_share:d", "", """
   SELECT source, count(*) AS n_files, string_agg(DISTINCT lang, '|' ORDER BY lang) AS langs,
     avg(CAST(n_chars > 1000 AS INT)) AS long_share, avg(CAST(length(text) = n_chars AS INT)) AS exact_share
   FROM documents GROUP BY source""")
 def _(spark, sf):
     d = table(spark, sf, "documents", "source", "lang", "n_chars", "text")
-    return eligibility.interface_audit(
+    return eligibility.declared_values(
         d, ["source"], {"langs": "lang"},
         {"long_share": F.col("n_chars") > 1000, "exact_share": F.length("text") == F.col("n_chars")},
     )
 
 
+# electrode files in three layouts by subject, some places missing or no numbers
+cte("electrode_rows", "contact_points", """
+  SELECT subject, name, vec_id, CAST(substr(subject, 5) AS INT) % 3 AS layout, vec_id % 6 <> 0 AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AS located FROM contact_points""")
+
+
+def _electrode_files(spark, sf):
+    """Written once: one folder a subject, headers that differ by layout."""
+    path = f"{shared_folder(spark)}/interface-{uuid.uuid4().hex}"
+    c = contact_points(spark, sf)
+    layout = F.substring("subject", 5, 9).cast("int") % 3
+    z = F.when(F.col("vec_id") % 6 != 0, F.col("z").cast("string")).otherwise("n/a")
+    c = c.withColumns({"folder": F.col("subject"), "layout": layout, "z": z})
+    variants = (["name", "x", "y", "z"], ["NAME", "X", "Y", "Z", "MNI_X", "MNI_Y", "MNI_Z"], ["name", "Destrieux_label", "z", "y", "x", "ROI"])
+    extra = {"MNI_X": F.col("x"), "MNI_Y": F.col("y"), "MNI_Z": F.col("z"), "Destrieux_label": F.lit("G_front"), "ROI": F.lit(None).cast("string")}
+    for i, header in enumerate(variants):
+        cols = [extra[h].alias(h) if h in extra else F.col(h.lower()).alias(h) for h in header]
+        c.where(F.col("layout") == i).select("folder", *cols).write.partitionBy("folder").csv(f"{path}/layout{i}", sep="\t", header=True)
+    return [f"{path}/layout{i}/*" for i in range(3)]
+
+
+def electrode_cells(spark, sf):
+    def build():
+        cells = tables.read_cells(spark, _electrode_files(spark, sf), ["sub"])
+        return cells.withColumn("subject", F.concat(F.lit("sub-"), "sub")).drop("sub")
+
+    return stage(spark, sf, "electrode_cells", build)
+
+
+@query("column_evidence", "subject column_name n_rows:i n_present:i numeric_share:d", "contact_points", """
+  SELECT subject, column_name, count(*) AS n_rows, count(*) FILTER (WHERE present) AS n_present, avg(CAST(number AS INT)) FILTER (WHERE present) AS numeric_share FROM (
+    SELECT subject, lower(h) AS column_name, CASE WHEN h IN ('z', 'mni_z') THEN vec_id % 6 <> 0 ELSE h <> 'roi' END AS present, h NOT IN ('name', 'destrieux_label') AS number
+    FROM contact_points, (SELECT unnest(['name', 'x', 'y', 'z', 'mni_x', 'mni_y', 'mni_z', 'destrieux_label', 'roi']) AS h)
+    WHERE h IN ('name', 'x', 'y', 'z') OR (CAST(substr(subject, 5) AS INT) % 3 = 1 AND starts_with(h, 'mni')) OR (CAST(substr(subject, 5) AS INT) % 3 = 2 AND h IN ('destrieux_label', 'roi'))) GROUP BY ALL""")
+def _(spark, sf):
+    e = tables.column_evidence(electrode_cells(spark, sf))
+    subject = F.concat(F.lit("sub-"), F.regexp_extract("file", "folder=sub-([0-9]+)", 1))
+    present = F.coalesce(F.col("numeric_share") * F.col("n_present"), F.lit(0.0))
+    return e.groupBy(subject.alias("subject"), "column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_present").alias("n_present"), F.try_divide(F.sum(present), F.sum("n_present")).alias("numeric_share")
+    )
+
+
+cte("site_labels", "pair_texts pair_one pair_two pair_three", """
+  SELECT subject, count(*) AS n_sites, count(contact_a) AS n_parsed FROM (
+    SELECT t.subject, t.label, p.contact_a FROM (SELECT DISTINCT subject, label FROM pair_texts) t
+    LEFT JOIN (FROM pair_one UNION ALL FROM pair_two UNION ALL FROM pair_three) p ON t.subject = p.subject AND t.label = p.label) GROUP BY subject""")
+
+
+@query("interface_audit", "subject n_electrodes:i n_xyz:i coordinate_systems coordinate_units direct_mni_system explicit_mni_columns candidate_mni_triplets direct_mni_columns "
+       "fsaverage_system unit_mm atlas_columns n_unique_stim_sites:i n_stim_sites_pair_parsed:i stim_pair_match_fraction:d sampling_frequencies power_line_frequencies reference_electrodes manufacturers",
+       "electrode_rows site_labels", """
+  SELECT subject, count(*) AS n_electrodes, count(*) FILTER (WHERE located) AS n_xyz, CASE layout WHEN 0 THEN 'MNI152NLin6Asym' WHEN 1 THEN 'Other|fsaverage' ELSE 'UNKNOWN' END AS coordinate_systems,
+    CASE layout WHEN 0 THEN 'mm' WHEN 1 THEN 'm|mm' ELSE 'UNKNOWN' END AS coordinate_units, layout = 0 AS direct_mni_system,
+    CASE WHEN layout = 1 THEN 'MNI_X|MNI_Y|MNI_Z' ELSE '' END AS explicit_mni_columns, CASE WHEN layout = 1 THEN 'MNI_X|MNI_Y|MNI_Z' ELSE '' END AS candidate_mni_triplets,
+    layout = 1 AS direct_mni_columns, layout = 1 AS fsaverage_system, layout <> 1 AS unit_mm, CASE WHEN layout = 2 THEN 'Destrieux_label|ROI' ELSE '' END AS atlas_columns,
+    max(n_sites) AS n_unique_stim_sites, max(n_parsed) AS n_stim_sites_pair_parsed, max(n_parsed) / max(n_sites) AS stim_pair_match_fraction,
+    CASE WHEN layout = 0 THEN '1024|512' ELSE '2048' END AS sampling_frequencies, '50' AS power_line_frequencies, CASE WHEN layout = 2 THEN '' ELSE 'mastoid' END AS reference_electrodes, 'A|B' AS manufacturers
+  FROM electrode_rows JOIN site_labels USING (subject) GROUP BY subject, layout""")
+def _(spark, sf):
+    """Three layouts of electrode files, with their coordinate documents and recordings."""
+    subjects = contact_points(spark, sf).select("subject", (F.substring("subject", 5, 9).cast("int") % 3).alias("layout")).distinct()
+    row = lambda *v: F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("system", "units"), v)])
+    documents = F.when(F.col("layout") == 0, F.array(row("MNI152NLin6Asym", "mm"))).when(
+        F.col("layout") == 1, F.array(row("fsaverage", "m"), row("Other", "mm"))).otherwise(F.array(row(None, None)))
+    systems = subjects.select("subject", F.explode(documents).alias("d")).select("subject", "d.*")
+    heard = subjects.withColumn("manufacturer", F.explode(F.array(F.lit("B"), F.lit("A")))).select(
+        "subject", "manufacturer", F.when(F.col("layout") == 0, F.when(F.col("manufacturer") == "A", 512).otherwise(1024)).otherwise(2048).alias("sampling"),
+        F.lit(50).alias("line"), F.when(F.col("layout") != 2, "mastoid").alias("reference"),
+    )
+    return eligibility.interface_audit(electrode_cells(spark, sf), systems, heard, parsed_pairs(spark, sf))
+
+
 @query("schema_counts", "column_name n_files:i", "", """
   SELECT column_name, count(*) AS n_files FROM (
     SELECT unnest(string_split(p_name, ' ')) AS column_name FROM part) GROUP BY column_name""")
@@ -455,8 +530,6 @@ def _(spark, sf):
 
 
 def _fresh(spark, name: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 

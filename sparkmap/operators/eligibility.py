@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkmap.functions.numeric import all_finite
+from sparkmap.functions.numeric import all_finite, finite
 from sparkmap.functions.text import join_distinct, strip
 from sparkmap.operators.ordering import median, quantiles
 from sparkmap.operators.quality import first_per_key
@@ -131,7 +133,71 @@ def numeric_profile(df: DataFrame, group: Sequence[str], cols: Sequence[str]) ->
     return ends.join(quantiles(df, group, {f"{c}_median": median(c) for c in cols}), list(group), "left")
 
 
-def interface_audit(files: DataFrame, group: Sequence[str], texts: dict[str, str], flags: dict[str, Column]) -> DataFrame:
+# Names that mark columns of an atlas, and the triplets of MNI coordinates, in lower case.
+ATLAS_MARKS = ("destrieux", "atlas", "roi", "region", "label", "aparc")
+MNI_TRIPLETS = (
+    ("mni_x", "mni_y", "mni_z"),
+    ("mni152_x", "mni152_y", "mni152_z"),
+    ("x_mni", "y_mni", "z_mni"),
+    ("x_mni152", "y_mni152", "z_mni152"),
+)
+MNI_SYSTEMS = ("mni152", "mni152lin", "mni152nlin")
+MILLIMETRES = ("mm", "millimeter", "millimeters")
+
+
+def _joined(values: Column) -> Column:
+    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(values)), "|"), F.lit(""))
+
+
+def interface_audit(cells: DataFrame, systems: DataFrame, recordings: DataFrame, pairs: DataFrame, group: str = "subject") -> DataFrame:
+    """One row a subject: what its electrode files, coordinate documents and recordings offer an anatomical bridge.
+
+    `cells`: group, columns, cells (of `read_cells`).  `systems`: group, system,
+    units.  `recordings`: group, sampling, line, reference, manufacturer.
+    `pairs`: group, label, contact_a, contact_b (of `parse_pair`).  Groups come
+    from `cells`; one without the other tables has empty texts and zero sites.
+    """
+    xyz = F.lit(True)
+    for c in "xyz":
+        xyz = xyz & F.coalesce(finite(F.try_element_at("cells", F.lit(c)).try_cast("double")), F.lit(False))
+    headers = cells.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_electrodes"), F.count_if(xyz).alias("n_xyz"), F.flatten(F.collect_set("columns")).alias("_c")
+    )  # distinct headers of a subject's files
+    marked = lambda marks: F.filter("_c", lambda c: reduce(or_, [F.lower(c).contains(m) for m in marks]))
+    named = lambda c: F.get(F.filter("_c", lambda x: F.lower(F.trim(x)) == c), F.lit(0))
+    triplets = [F.when(F.size(F.array_compact(F.array(*[named(c) for c in t]))) == 3, F.concat_ws("|", *[named(c) for c in t])) for t in MNI_TRIPLETS]
+    found = headers.select(
+        group, "n_electrodes", "n_xyz", _joined(marked(["mni"])).alias("explicit_mni_columns"),
+        F.array_join(F.array_compact(F.array(*triplets)), "|").alias("candidate_mni_triplets"), _joined(marked(ATLAS_MARKS)).alias("atlas_columns"),
+    ).withColumn("direct_mni_columns", F.col("candidate_mni_triplets") != "")
+    known = F.coalesce("system", F.lit("UNKNOWN"))
+    unit = F.coalesce("units", F.lit("UNKNOWN"))
+    declared = systems.groupBy(group).agg(
+        join_distinct(known).alias("coordinate_systems"),
+        join_distinct(unit).alias("coordinate_units"),
+        F.bool_or(reduce(or_, [F.lower(known).contains(m) for m in MNI_SYSTEMS])).alias("direct_mni_system"),
+        F.bool_or(F.lower(known) == "fsaverage").alias("fsaverage_system"),
+        F.bool_and(F.lower(unit).isin(*MILLIMETRES) | (unit == "UNKNOWN")).alias("unit_mm"),
+    )
+    heard = recordings.groupBy(group).agg(*[
+        join_distinct(F.col(c).cast("string")).alias(n)
+        for c, n in (("sampling", "sampling_frequencies"), ("line", "power_line_frequencies"), ("reference", "reference_electrodes"), ("manufacturer", "manufacturers"))
+    ])
+    sites = pairs.groupBy(group).agg(
+        F.count_distinct("label").alias("n_unique_stim_sites"),
+        F.count_distinct(F.when(F.col("contact_a").isNotNull() & F.col("contact_b").isNotNull(), F.col("label"))).alias("n_stim_sites_pair_parsed"),
+    )
+    out = found.join(declared, group, "left").join(heard, group, "left").join(sites, group, "left")
+    texts = ["coordinate_systems", "coordinate_units", "sampling_frequencies", "power_line_frequencies", "reference_electrodes", "manufacturers"]
+    defaults = {c: F.coalesce(c, F.lit("")) for c in texts}
+    defaults |= {c: F.coalesce(c, F.lit(False)) for c in ("direct_mni_system", "fsaverage_system")} | {"unit_mm": F.coalesce("unit_mm", F.lit(True))}
+    defaults |= {c: F.coalesce(c, F.lit(0)) for c in ("n_unique_stim_sites", "n_stim_sites_pair_parsed")}
+    return out.withColumns(defaults).withColumn(
+        "stim_pair_match_fraction", F.try_divide(F.col("n_stim_sites_pair_parsed").cast("double"), F.col("n_unique_stim_sites"))
+    )
+
+
+def declared_values(files: DataFrame, group: Sequence[str], texts: dict[str, str], flags: dict[str, Column]) -> DataFrame:
     """Distinct declared values (as text) and the share of files each flag holds for."""
     return files.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_files"),

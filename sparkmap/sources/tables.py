@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from sparkmap.functions.numeric import finite
+from sparkmap.functions.text import valid_text
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Plain or gzip CSV with a header; the schema is given, never inferred."""
@@ -48,6 +51,41 @@ def read_tree(
     return out.select(*keys, "file", *have)
 
 
+def read_cells(spark: SparkSession, paths: Sequence[str], keys: Sequence[str] = ("sub", "ses"), sep: str = "\t") -> DataFrame:
+    """Rows of text tables whose headers differ from file to file: keys of the path, `file`, `columns`, `cells`.
+
+    `columns` is the header as it stands, `cells` maps each column name in lower
+    case to its value (of names that agree in lower case the first counts; a
+    short row has NULL at its end).  The header is each file's first line, so
+    files are split and read like any text; a file without rows gives none.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")).alias("at"),
+    )
+    tab = F.lit("\\Q" + sep + "\\E")
+    header = lines.groupBy("file").agg(F.min(F.struct("at", "value")).alias("h")).select(
+        "file", F.col("h.at").alias("_first"), F.split("h.value", tab).alias("columns")
+    )
+    low = F.transform("columns", lambda c: F.lower(F.trim(c)))
+    named = header.withColumn("_low", low)
+    rows = lines.join(named, "file").where((F.col("at") != F.col("_first")) & (F.col("value") != "")).withColumn("_v", F.split("value", tab))
+    first = F.filter(F.sequence(F.lit(1), F.size("_low")), lambda i: F.array_position("_low", F.get("_low", i - 1)) == i)
+    cells = F.map_from_entries(F.transform(first, lambda i: F.struct(F.get("_low", i - 1), F.get("_v", i - 1))))
+    found = [F.nullif(F.regexp_extract("file", rf"(?:^|[/_=]){key}-([A-Za-z0-9]+)", 1), F.lit("")).alias(key) for key in keys]
+    return rows.select(*found, "file", "columns", cells.alias("cells"))
+
+
+def column_evidence(cells: DataFrame) -> DataFrame:
+    """What each column of each file holds: rows, present values, and the share of these that are numbers."""
+    long = cells.select("file", F.explode("cells").alias("column_name", "value"))
+    there = valid_text(F.col("value"))
+    number = F.when(there, F.coalesce(finite(F.col("value").try_cast("double")), F.lit(False)).cast("double"))
+    return long.groupBy("file", "column_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(there).alias("n_present"), F.avg(number).alias("numeric_share")
+    )
+
+
 def pick_column(df: DataFrame, candidates: Sequence[str], strict: bool = False) -> str:
     """First column that matches a candidate regardless of case; strict wants exactly one match."""
     by_key = {}

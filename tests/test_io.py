@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from sparkmap.operators import eligibility
 from sparkmap.operators.response import cut_epochs
 from sparkmap.sources import files, tables
 from sparkmap.streaming import runs
@@ -35,6 +36,34 @@ def test_read_tree(spark, tmp_path):
     assert got == {("01", "a", "E1", "1", None), ("02", "b", "E2", None, None)}
 
 
+def test_read_cells(spark, tmp_path):
+    """Headers that differ from file to file, rows that are short, names that agree in lower case."""
+    for sub, body in (("01", "name\tx\tX\nE1\t1\t9\nE2\n"), ("02", "Z\tname\nq\tE3\n\n"), ("03", "name\tx\n")):
+        (tmp_path / f"sub-{sub}").mkdir()
+        (tmp_path / f"sub-{sub}" / "electrodes.tsv").write_text(body)
+    cells = tables.read_cells(spark, [f"{tmp_path}/*/*.tsv"], ["sub"])
+    got = sorted(((r.sub, r.columns, r.cells) for r in cells.collect()), key=lambda r: (r[0], r[2]["name"]))
+    assert got == [("01", ["name", "x", "X"], {"name": "E1", "x": "1"}), ("01", ["name", "x", "X"], {"name": "E2", "x": None}), ("02", ["Z", "name"], {"z": "q", "name": "E3"})]
+    evidence = {(r.file[-21:-15], r.column_name): (r.n_rows, r.n_present, r.numeric_share) for r in tables.column_evidence(cells).collect()}
+    assert evidence[("sub-01", "x")] == (2, 1, 1.0) and evidence[("sub-02", "z")] == (1, 1, 0.0)
+
+
+def test_interface_audit(spark):
+    cells = spark.createDataFrame(
+        [("a", ["name", "x", "y", "z", "x_mni", "y_mni", "z_mni"], {"name": "E1", "x": "1", "y": "2", "z": "nan"}),
+         ("a", ["name", "x", "y", "z", "x_mni", "y_mni", "z_mni"], {"name": "E2", "x": "1", "y": "2", "z": "3"}),
+         ("b", ["name", "Region"], {"name": "E3"})], "subject string, columns array<string>, cells map<string,string>",
+    )
+    systems = spark.createDataFrame([("a", "MNI152Lin", "Millimeters"), ("a", None, None)], "subject string, system string, units string")
+    recordings = spark.createDataFrame([("a", 512.0, 50, None, "M")], "subject string, sampling double, line int, reference string, manufacturer string")
+    pairs = spark.createDataFrame([("a", "E1-E2", "E1", "E2"), ("a", "E1-Q", None, None)], "subject string, label string, contact_a string, contact_b string")
+    got = {r.subject: r for r in eligibility.interface_audit(cells, systems, recordings, pairs).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.n_electrodes, a.n_xyz, a.candidate_mni_triplets, a.direct_mni_columns, a.direct_mni_system, a.unit_mm) == (2, 1, "x_mni|y_mni|z_mni", True, True, True)
+    assert (a.coordinate_systems, a.sampling_frequencies, a.reference_electrodes, a.stim_pair_match_fraction) == ("MNI152Lin|UNKNOWN", "512.0", "", 0.5)
+    assert (b.atlas_columns, b.n_xyz, b.coordinate_systems, b.n_unique_stim_sites, b.stim_pair_match_fraction) == ("Region", 0, "", 0, None)
+
+
 def test_pick_column(spark):
     df = spark.createDataFrame([(1, 2)], "Subject_ID int, x int")
     assert tables.pick_column(df, ["subject", "subject_id"]) == "Subject_ID"
