@@ -85,6 +85,25 @@ def test_file_inventory_and_guard(spark, tmp_path):
     assert [(r["suffix"], r["is_derivative"]) for r in files.candidate_paths(paths, ["atlas"]).collect()] == [(".tsv", True)]
 
 
+def test_large_files_are_hashed_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK_BYTES", 1000)
+    for name, body in (("a b.bin", b"x" * 12_345), ("c.bin", b""), ("d.bin", bytes(range(256)) * 50)):
+        (tmp_path / name).write_bytes(body)
+    whole = {r.file_name: tuple(r)[2:] for r in files.file_inventory(spark, str(tmp_path), "*.bin").collect()}
+    blocks = {r.file_name: tuple(r)[2:] for r in files.file_inventory(spark, str(tmp_path), "*.bin", whole_bytes=100).collect()}
+    assert whole == blocks and len(whole) == 3
+
+
+def test_a_file_of_three_gigabytes(spark, tmp_path):
+    with open(tmp_path / "sparse.bin", "wb") as f:  # takes no room
+        f.truncate(3 << 30)
+    (row,) = files.file_inventory(spark, str(tmp_path)).collect()
+    zeros, want = bytes(1 << 24), hashlib.sha256()
+    for _ in range((3 << 30) >> 24):
+        want.update(zeros)
+    assert row.length == 3 << 30 and row.sha256 == want.hexdigest()
+
+
 def test_manifest_diff(spark):
     f = lambda *r: spark.createDataFrame(list(r), "path string, sha256 string")
     got = files.manifest_diff(f(("same", "1"), ("changed", "2"), ("new", "3")), f(("same", "1"), ("changed", "9"), ("gone", "4")))
