@@ -38,7 +38,6 @@ STEMS = (3, 4, 5, 6, 7)
 LEAST_WEIGHT = 1.8
 #: Dunning's log-likelihood ratio: keeps entries out that are rare by chance.
 LEAST_EVIDENCE = 30.0
-MOST_ENTRIES = 5000
 
 # Closed word classes of the languages at hand.
 TARGETS = "you your yours yourself u du dich dir dein deine ihr euch tu toi vous ton ta votre tú ti usted ustedes vosotros".split()
@@ -206,15 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         .withColumn("weight", odds(F.col("bad"), n_bad) - odds(F.col("good"), n_good))
         .withColumn("evidence", 2 * (surprise("bad", n_bad) + surprise("good", n_good)))
         .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
-        .orderBy(F.desc("bad"), "entry").limit(MOST_ENTRIES)
-    )
+    )  # as many as the bounded sample holds
     lexicon = Lexicon({r["entry"]: r["weight"] for r in table.select("entry", "weight").collect()})
 
     @F.pandas_udf("array<double>")
     def measured(text: pd.Series) -> pd.Series:
         return pd.Series([list(lexicon.measure(t)) for t in text])
 
-    second = sample.where("half = 1").select("toxic", measured("text").alias("m")).toPandas()
+    # rows that repeat a drawn id are drawn with it, so the number of rows is bounded as well
+    second = sample.where("half = 1").select("toxic", measured("text").alias("m"), F.xxhash64("text").alias("h")).orderBy("h").limit(4 * per_class).toPandas()
     if second["toxic"].nunique() < 2:
         return Model(lexicon, np.array([math.log(1e-3), 1.0, 1.0, 1.0, 0.0]))
     x = _design(np.array(second["m"].tolist()))
