@@ -260,7 +260,7 @@ def nested(spark, sf):
 
 
 def pairs(spark, sf):
-    return stage(spark, sf, "pairs", lambda: H.pair_predictions(nested(spark, sf)))
+    return stage(spark, sf, "pairs", lambda: H.pair_predictions(nested(spark, sf), digits=9))
 
 
 def _ctx(spark, sf):
@@ -375,7 +375,7 @@ def _(spark, sf):
     FROM pairs UNION ALL SELECT subject, 0, 0, stim_site, recording_channel, 'population', true_early, true_late,
       {each("greatest(exp(round(pop_@ * sd_@ + mean_@, 9)) - 1, 0)")} FROM prior) GROUP BY ALL""")
 def _(spark, sf):
-    both = H.pair_predictions(nested(spark, sf)).unionByName(H.zero_context_predictions(prior(spark, sf)))
+    both = H.pair_predictions(nested(spark, sf), digits=9).unionByName(H.zero_context_predictions(prior(spark, sf), 9))
     return both.groupBy(*P.PLAN_KEYS, "condition").agg(
         F.count(F.lit(1)).alias("n"), *[F.max(f"true_{t}").alias(f"true_{t}") for t in _T],
         *[F.avg(f"pred_{t}").alias(f"pred_{t}") for t in _T],

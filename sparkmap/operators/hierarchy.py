@@ -258,17 +258,18 @@ def nested_predictions(rows: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def to_raw(z: Column, mean: Column, sd: Column) -> Column:
-    """Back to the raw scale; nine digits on the log scale, so that equal predictions stay ties."""
-    return expm1_clip(F.round(z * sd + mean, 9))
+def to_raw(z: Column, mean: Column, sd: Column, digits: int | None = None) -> Column:
+    """Back to the raw scale; with `digits` on the log scale, so that predictions equal but for the order of a sum are ties."""
+    log = z * sd + mean
+    return expm1_clip(log if digits is None else F.round(log, digits))
 
 
-def pair_predictions(nested: DataFrame, conditions: Sequence[str] = CONDITIONS) -> DataFrame:
-    """Long truth/prediction table on the raw scale, one row per condition."""
+def pair_predictions(nested: DataFrame, conditions: Sequence[str] = CONDITIONS, digits: int | None = None) -> DataFrame:
+    """Long truth/prediction table on the raw scale, one row per condition; `digits` as in `to_raw`."""
     def level(c: str) -> Column:
         return F.struct(
             F.lit(c).alias("condition"),
-            *[to_raw(F.col(f"{c}_{t}"), F.col(f"mean_{t}"), F.col(f"sd_{t}")).alias(f"pred_{t}") for t in TARGETS],
+            *[to_raw(F.col(f"{c}_{t}"), F.col(f"mean_{t}"), F.col(f"sd_{t}"), digits).alias(f"pred_{t}") for t in TARGETS],
         )
 
     return nested.select(
@@ -277,7 +278,7 @@ def pair_predictions(nested: DataFrame, conditions: Sequence[str] = CONDITIONS)
     ).select("*", "_p.*").drop("_p")
 
 
-def zero_context_predictions(prior: DataFrame) -> DataFrame:
+def zero_context_predictions(prior: DataFrame, digits: int | None = None) -> DataFrame:
     """k = 0: every cell is a query, one repeat, population only."""
     nested = prior.select(
         "subject", F.lit(0).alias("context_k"), F.lit(0).alias("repeat"),
@@ -285,7 +286,7 @@ def zero_context_predictions(prior: DataFrame) -> DataFrame:
         *[f"true_{t}" for t in TARGETS], *[f"{m}_{t}" for m in ("mean", "sd") for t in TARGETS],
         *[F.col(f"pop_{t}").alias(f"population_{t}") for t in TARGETS],
     )
-    return pair_predictions(nested, ["population"])
+    return pair_predictions(nested, ["population"], digits)
 
 
 def reconstruct(prior: DataFrame, context: DataFrame, query: DataFrame) -> DataFrame:
