@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_stage_folder: ContextVar[str | None] = ContextVar("stage_folder", default=None)
+
 
 def build_session(app: str = "sparkmap", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
@@ -45,6 +50,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     known to the planner, so a broadcast of it is decided on a measured size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_folder.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[str]:
+    """What `materialize` writes inside the block goes to a folder of its own, which is removed at the block's end.
+
+    Whatever is still wanted then must have been written elsewhere within the
+    block; frames that read the folder's tables are of no use after it.
+    """
+    folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    before = _stage_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _stage_folder.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
