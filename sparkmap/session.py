@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -70,3 +70,12 @@ def stage_tables(spark: SparkSession) -> Iterator[str]:
         _stage_folder.reset(before)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "stage") -> DataFrame:
+    """The rows of `make()`, written once; tables that `make` materialized on its way are removed."""
+    path = f"{_stage_folder.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with stage_tables(spark):
+        rows = make()
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
