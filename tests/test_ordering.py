@@ -75,3 +75,31 @@ def test_hot_group_is_cut_into_ranges(spark, rate):
     spans = df.crossJoin(F.broadcast(O._cut_points(df, ["g"], "v").drop("g"))).groupBy(O._span(F.col("v")).alias("s")).count()
     top = spans.agg(F.max("count"), F.count("*")).first()
     assert top[0] < 200_000 / 20 and top[1] > 100
+
+
+@pytest.mark.parametrize("most", [0, 50, 1 << 20])
+def test_quantiles_of_groups(spark, frame, monkeypatch, most):
+    """Groups sorted whole, by ranges, and some of each: the same values, whatever the limit."""
+    monkeypatch.setattr(O, "GROUP_ROWS", most)
+    df = spark.createDataFrame(frame).withColumn("w", F.when(F.col("id") % 7 != 0, F.col("v") * 2)).withColumn("nan", F.when(F.col("g") == "hot", F.lit(float("nan"))))
+    df = df.unionByName(df.limit(5).withColumn("g", F.lit(None).cast("string"))).unionByName(df.limit(3).withColumns({"g": F.lit("none"), **{c: F.lit(None).cast("double") for c in "vw"}}))
+    wanted = {"m": O.median("v"), "q": O.Quantile("v", 0.75), "low": O.lower_median("v"), "w": O.median("w"), "nan": O.median("nan"), "low_nan": O.lower_median("nan")}
+    got = O.quantiles_of_groups(df, ["g"], wanted).toPandas().sort_values("g", ignore_index=True)
+    want = O.quantiles(df, ["g"], wanted).toPandas().sort_values("g", ignore_index=True)
+    pd.testing.assert_frame_equal(got[want.columns], want, check_exact=True)
+    assert list(got["g"]) == sorted(frame["g"].unique())
+
+
+def test_map_moves_no_copy_of_a_row_per_column(spark, frame):
+    """The values of small groups travel once, as arrays: rows are multiplied only on the way of the large groups."""
+    from sparkmap.operators.response import trials_to_map
+
+    f = F.col("id").cast("string")
+    df = spark.createDataFrame(frame).select(F.col("g").alias("subject"), f.alias("event_uid"), f.alias("run_base"), *[F.col("v").alias(c) for c in ("distance_to_stim", "early_rms_z", "late_rms_z")])
+    m = trials_to_map(df, ["subject"])
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.count("LeftAnti") == 1
+    by = frame.groupby("g")["v"]
+    got = m.toPandas().set_index("subject")
+    assert np.allclose(got["late_rms_iqr"], (by.quantile(0.75) - by.quantile(0.25))[got.index], rtol=0, atol=1e-12)
+    assert (got["n_trials"] == by.size()[got.index]).all()
