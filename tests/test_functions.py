@@ -1,6 +1,7 @@
 """Hand-computed results of the scalar functions."""
 
 import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,17 @@ def test_white_space_around_metadata(spark):
     df = spark.createDataFrame([("\tL ", "\u00a0RIGHT\n", " \tlh_Amygdala\n")], "a string, b string, c string")
     got = df.select(text.hemi_from_meta(F.col("a")), text.hemi_from_meta(F.col("b")), text.canonical_stem(F.col("c"))).first()
     assert tuple(got) == ("L", "R", "amygdala")
+
+
+def test_ascii_fold_looks_for_forms_beyond_ascii_only(spark):
+    """Every character folds as NFKD without marks; ASCII texts, and ASCII characters of others, skip the long classes."""
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000), *range(0x1F100, 0x1F250))]
+    rows = [(i, "".join(chars[i : i + 64])) for i in range(0, len(chars), 64)] + [(-1, None), (-2, ""), (-3, "plain text"), (-4, "éﬁ½ a")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("f", text.ascii_fold(F.col("t")))
+    split = spark.createDataFrame([(c,) for c in chars], "t string")
+    held = {r["t"] for r in split.where(F.col("t").rlike(text._SEVERAL)).collect()}
+    fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    assert held == {c for c in chars if len(fold(c)) > 1}
+    got = {r["id"]: r["f"] for r in df.collect()}
+    assert (got[-1], got[-2], got[-3], got[-4]) == (None, "", "plain text", "efi1⁄2 a")
+    assert text._SEVERAL.startswith(r"[\x{80}-\x{10FFFF}&&") and "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
