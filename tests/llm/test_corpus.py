@@ -5,13 +5,16 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkmap.llm import embeddings, linededup, mixing, sharding, simhash
+from sparkmap.llm import embeddings, linededup, mixing, packing, sharding, simhash
 from sparkmap.llm.components import components, forest
+from sparkmap.session import arrow_rows
 
 
 def words(text):
@@ -290,3 +293,33 @@ def test_pipeline(spark, docs, corpus, no_docs, tmp_path):
     assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, str(tmp_path)).count() == 0
+
+
+def test_pack_stage_bounds_its_workers(spark, docs, monkeypatch):
+    """Few rows at a time and a small memo in the stage's workers; the pieces are those of the operator, the setting comes back."""
+    key, whole, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", packing.pack, {}
+    before = spark.conf.get(key, None)
+
+    def spied(*args, **named):
+        seen.update(named, rows=int(spark.conf.get(key)))
+        return whole(*args, **named)
+
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    want = Counter(whole(docs, public_tokenizers.path("byte_bpe_50k.json"), corpus_pipeline.END_ID).digests().select(columns).collect())
+    monkeypatch.setattr(packing, "pack", spied)
+    got = Counter(corpus_pipeline.pack(spark, docs, "").select(columns).collect())
+    assert seen["rows"] <= packing.BATCH and seen["memo_pieces"] <= 300_000
+    assert spark.conf.get(key, None) == before
+    assert got == want
+
+
+def test_arrow_rows(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 5000, numPartitions=1)
+    with arrow_rows(spark, 700):
+        with arrow_rows(spark, 2000):  # a smaller bound that holds already stays
+            assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) == 700
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) == 5000
