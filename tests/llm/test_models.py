@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def test_letters():
     assert model.predict("½ ² ① Ⅷ") == ("und", 0.0) and model.predict("½ a")[0] == "de"
 
 
+def test_language_sample_is_held_once():
+    """The drawn rows are read in place, batch by batch, a row without features among them."""
+    at, n = [[3, 5], [], [7]], [[0.25, 0.75], [], [1.0]]
+    schema = pa.schema([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
+    one = pa.record_batch([pa.array(at, schema[0].type), pa.array(n, schema[1].type)], schema=schema)
+    sample = pa.Table.from_batches([one, one.slice(0, 0), one.slice(1, 2)])
+    got = language._rows(sample)
+    assert [(a.tolist(), b.tolist()) for a, b in got] == list(zip(at + at[1:], n + n[1:]))
+    assert np.shares_memory(got[0][0], one["at"].values.to_numpy()) and got[0][1].dtype == np.float32
+
+
 def test_language_held_out(docs, corpus):
     """Documents of the held-out fold are told by a model that never saw them."""
     model = language.fit(docs.where(language.may_learn()))
