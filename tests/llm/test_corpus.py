@@ -313,6 +313,25 @@ def test_pack_stage_bounds_its_workers(spark, docs, monkeypatch):
     assert got == want
 
 
+def test_pack_stage_leaves_nothing_in_its_workers(spark, docs, monkeypatch):
+    """Workers go on to other stages; vocabulary and remembered pieces do not go with them."""
+    import gc
+
+    from sparkmap.llm.encoding import Encoder
+
+    monkeypatch.setattr(corpus_pipeline, "MEMO_PIECES", 123_457)  # tells this test's encoders from others'
+    packed = {tuple(r) for r in corpus_pipeline.pack(spark, docs, "").drop("piece").collect()}
+
+    def held(batches):
+        for b in batches:
+            found = [e.most for e in gc.get_objects() if isinstance(e, Encoder)]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([found.count(123_457)], pa.int64())})
+
+    assert not any(r["n"] for r in spark.range(64).repartition(64).mapInArrow(held, "n long").collect())
+    whole = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), corpus_pipeline.END_ID)
+    assert packed == {tuple(r) for r in whole.digests().select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()}
+
+
 def test_arrow_rows(spark):
     def sizes(batches):
         for b in batches:
